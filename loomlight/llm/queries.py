@@ -6,6 +6,7 @@ from .chat import format_chats
 from .cluster import table
 from .decontamination import decontaminate
 from .packing import pack
+from .quality import judge
 
 
 def op1_decontamination(spark, sf_dir):
@@ -52,3 +53,10 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
  cast(sum(n_text + n_role + length('<|start|>') + 1 + length('<|end|>') + 1) as bigint) as formatted_chars
 from t group by conv_id
 """
+
+
+def op8_quality_rules(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op8_quality_rules": op8_quality_rules}
