@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import format_chats
 from .cluster import table
 from .decontamination import decontaminate
+from .langid import identify
 from .packing import pack
 from .quality import judge
 
@@ -60,3 +61,10 @@ def op8_quality_rules(spark, sf_dir):
 
 
 QUERIES |= {"op8_quality_rules": op8_quality_rules}
+
+
+def op4_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op4_language_id": op4_language_id}
