@@ -8,6 +8,8 @@ from .decontamination import decontaminate
 from .langid import identify
 from .packing import pack
 from .quality import judge
+from .resampling import resample
+from .toxicity import score
 
 
 def op1_decontamination(spark, sf_dir):
@@ -68,3 +70,14 @@ def op4_language_id(spark, sf_dir):
 
 
 QUERIES |= {"op4_language_id": op4_language_id}
+
+
+def op3_importance_resampling(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op3_importance_resampling": op3_importance_resampling, "op5_toxicity": op5_toxicity}
