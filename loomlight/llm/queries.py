@@ -9,6 +9,7 @@ from .langid import identify
 from .packing import pack
 from .quality import judge
 from .resampling import resample
+from .suffixes import remove_repeats
 from .toxicity import score
 
 
@@ -81,3 +82,10 @@ def op5_toxicity(spark, sf_dir):
 
 
 QUERIES |= {"op3_importance_resampling": op3_importance_resampling, "op5_toxicity": op5_toxicity}
+
+
+def op6_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("row", "clean")
+
+
+QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}
