@@ -6,6 +6,7 @@ from .chat import format_chats
 from .cluster import table
 from .decontamination import decontaminate
 from .langid import identify
+from .near_dups import group
 from .packing import pack
 from .quality import judge
 from .resampling import resample
@@ -89,3 +90,21 @@ def op6_suffix_dedup(spark, sf_dir):
 
 
 QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}
+
+
+def op2_minhash_near_dedup(spark, sf_dir):
+    return group(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+SQL["op2_minhash_near_dedup"] = r"""
+with recursive d as (select distinct doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[p:p + 4], ' ') end as g, least(5, len(w)) as k from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.k = b.k and a.doc_id < b.doc_id group by all),
+l as (select a, b from e join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+u as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from d union select r.a, u.b from r join u on r.b = u.a),
+m as (select a as doc_id, min(b) as component_id from r group by a)
+select documents.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, documents.doc_id = component_id as kept from documents join m using (doc_id) left join n using (doc_id)
+"""

@@ -130,7 +130,10 @@ def _neighbours(rows: pa.Table, keys: list[str], before, n: int):
 
 
 def spans(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, spans) with the merged byte spans to remove, for rows of (row, text) that have any."""
+    """(row, found): the byte spans to remove, for rows of (row, text, ...) that have any.
+
+    The join takes all of `documents`' columns, so that its exchange of the texts is
+    the one that a later join of the same rows uses again."""
     spark = documents.sparkSession
     n = spread(spark)
 
@@ -151,7 +154,7 @@ def spans(documents: DataFrame, length: int, gram: int) -> DataFrame:
 
         yield from _repeats(batches, ["m", "c"], out)
 
-    suffixes = documents.mapInArrow(first, "row long, a long, b long, m long, c long, twice boolean")
+    suffixes = documents.select("row", "text").mapInArrow(first, "row long, a long, b long, m long, c long, twice boolean")
     suffixes = suffixes.repartitionByRange(n, "m").sortWithinPartitions("m", "c")
     found = written(suffixes.mapInArrow(compare, "row long, a long, b long, whole boolean"), "runs")
     whole = found.where("whole").select("row", "a", (F.col("b") + length).alias("e"))
@@ -213,7 +216,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     if not stable:
         documents = written(documents, "input")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    found = spans(docs.select("row", "text"), length, gram)
+    found = spans(docs, length, gram)
 
     def apply(batches):
         names = ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean"]
@@ -226,4 +229,4 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 rows.append((i, d, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    return docs.select("row", "text", "doc_id").join(found, "row", "left").mapInArrow(apply, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean string")
+    return docs.join(found, "row", "left").mapInArrow(apply, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean string")
