@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +66,16 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join(os.path.basename(top), os.path.relpath(full, top)))
     sc.addPyFile(made)
     sc._loomlight_shipped = True
+
+
+CARRIED = "input_row"
+
+
+def schema_of(documents: DataFrame, ddl: str, carry: bool) -> T.StructType:
+    """ddl, and the whole input row as a struct where it is carried along."""
+    out = T._parse_datatype_string(ddl)
+    return T.StructType([*out.fields, T.StructField(CARRIED, documents.schema)]) if carry else out
+
+
+def carried(carry: bool) -> list:
+    return [F.struct("*").alias(CARRIED)] if carry else []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytebatch as bb
-from .cluster import ship
+from .cluster import CARRIED, carried, schema_of, ship
 
 WINDOW = 13
 K = 5
@@ -170,13 +170,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
         yield [(r["id"], r["text"]) for r in part.distinct().orderBy("id", "text").collect()]
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20, min_share: int = 20) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20, min_share: int = 20, carry: bool = False) -> DataFrame:
     """Per document: words, words hit, items with an occurring window, digest of their ids, verdict.
 
-    contaminated: n_hit > 0 and min_share * n_hit >= n_words."""
+    contaminated: n_hit > 0 and min_share * n_hit >= n_words.
+    carry: the input row comes along as the struct `input_row`."""
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried(carry))
     indexes = [spark.sparkContext.broadcast(Index(items)) for items in _blocks(benchmark, item_id, item_text, block_bytes)]
 
     if len(indexes) == 1:
@@ -198,11 +199,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                             pa.array([len(x) for x in named], pa.int64()),
                             pa.array([_digest(x) for x in named]),
                             pa.array((hit > 0) & (min_share * hit >= n_words)),
+                            *[batch.column(CARRIED).slice(t.first, len(t)) for _ in range(carry)],
                         ],
-                        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *[CARRIED] * carry],
                     )
 
-        return docs.mapInArrow(whole, SCHEMA)
+        return docs.mapInArrow(whole, schema_of(documents, SCHEMA, carry))
 
     docs = docs.withColumn("row", F.monotonically_increasing_id())
     parts = []
@@ -226,7 +228,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                         names=["doc_id", "row", "n_words", "items", "spans"],
                     )
 
-        parts.append(docs.mapInArrow(partly, "doc_id long, row long, n_words long, items array<string>, spans array<struct<a: long, b: long>>"))
+        parts.append(docs.select("doc_id", "row", "text").mapInArrow(partly, "doc_id long, row long, n_words long, items array<string>, spans array<struct<a: long, b: long>>"))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -237,5 +239,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
     covered = F.expr("aggregate(spans, struct(0L as n, 0L as to), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.to)) as n, greatest(s.to, x.b) as to)).n")
-    out = merged.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {min_share} * n_hit >= n_words"))
+    out = merged.select(*["row"] * carry, "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = out.withColumn("contaminated", F.expr(f"n_hit > 0 and {min_share} * n_hit >= n_words"))
+    return out.join(docs.select("row", CARRIED), "row").drop("row") if carry else out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytebatch as bb
-from .cluster import ship, text_id
+from .cluster import CARRIED, carried, schema_of, ship, text_id
 from .sample import per_label
 
 ORDER = 3
@@ -136,18 +136,21 @@ def labelled(documents: DataFrame, most: int, doc_id: str, text: str, lang: str,
     return sorted((r["lang"], r["text"]) for r in d.where(F.col("doc_id").isin(ids)).collect()) if ids else []
 
 
-def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 150, fold: int = 5) -> DataFrame:
-    """Predicted language of every document; documents of fold 0 by crc32 of the id are never learned from."""
+def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 150, fold: int = 5, carry: bool = False) -> DataFrame:
+    """Predicted language of every document; documents of fold 0 by crc32 of the id are never learned from.
+
+    carry: the input row comes along as the struct `input_row`."""
     spark = documents.sparkSession
     ship(spark)
     held_out = F.pmod(text_id(doc_id), F.lit(fold)) == 0
     model = spark.sparkContext.broadcast(train(labelled(documents, most, doc_id, text, lang, ~held_out)))
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"), *carried(carry))
 
     def run(batches):
         for batch in batches:
             for t in bb.blocks(batch.column("text")):
                 names, score = scores(model.value, t)
-                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), batch.column("held_out").slice(t.first, len(t)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                own = [batch.column(c).slice(t.first, len(t)) for c in ("doc_id", "held_out", *[CARRIED] * carry)]
+                yield pa.record_batch([*own[:2], pa.array(names, pa.string()), pa.array(score), *own[2:]], names=["doc_id", "held_out", "lang_pred", "score", *[CARRIED] * carry])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, schema_of(documents, SCHEMA, carry))

@@ -86,7 +86,7 @@ QUERIES |= {"op3_importance_resampling": op3_importance_resampling, "op5_toxicit
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("row", "clean")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("clean")
 
 
 QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}

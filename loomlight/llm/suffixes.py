@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytebatch as bb
-from .cluster import ship, spread, written
+from .cluster import CARRIED, carried, schema_of, ship, spread, written
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES)
@@ -206,27 +206,29 @@ def kept_bytes(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 256, stable: bool = True) -> DataFrame:
+def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = 256, stable: bool = True, carry: bool = False) -> DataFrame:
     """Per document: bytes, bytes and spans removed, the digest of the bytes kept, and they as text.
 
     `clean` drops bytes of characters that a removal has cut. stable: `documents`
-    is a table that gives the same rows in the same partitions when read again; others are written first."""
+    is a table that gives the same rows in the same partitions when read again; others are written first.
+    carry: the input row comes along as the struct `input_row`."""
     spark = documents.sparkSession
     ship(spark)
     if not stable:
         documents = written(documents, "input")
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried(carry)).withColumn("row", F.monotonically_increasing_id())
     found = spans(docs, length, gram)
 
     def apply(batches):
-        names = ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean"]
-        kinds = [*[pa.int64()] * 5, pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean"]
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.string()]
         for batch in batches:
             rows = []
-            for i, d, t, f in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
+            for d, t, f in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
                 raw, gone = t.as_py().encode(), merged(f or [])
                 kept = kept_bytes(raw, gone) if gone else raw
-                rows.append((i, d, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
+                rows.append((d, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.record_batch([*columns, *[batch.column(CARRIED) for _ in range(carry)]], names=[*names, *[CARRIED] * carry])
 
-    return docs.join(found, "row", "left").mapInArrow(apply, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean string")
+    return docs.join(found, "row", "left").mapInArrow(apply, schema_of(documents, SCHEMA + ", clean string", carry))
