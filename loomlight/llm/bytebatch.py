@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
 GRAM = U64(0xD6E8FEB86659FD93)
-LIMIT = 1 << 20
+LIMIT = 1 << 18
 
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)

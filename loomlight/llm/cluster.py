@@ -52,8 +52,12 @@ def spread(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each SparkContext."""
+    """Sends this package to the Python workers, once for each SparkContext.
+
+    Arrow batches of whole texts hold BATCH_ROWS rows unless the session sets a number."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     if getattr(sc, "_loomlight_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -69,6 +73,8 @@ def ship(spark: SparkSession) -> None:
 
 
 CARRIED = "input_row"
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def schema_of(documents: DataFrame, ddl: str, carry: bool) -> T.StructType:
