@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import format_chats
 from .cluster import table
 from .decontamination import decontaminate
+from .html_text import extract
 from .langid import identify
 from .near_dups import group
 from .packing import pack
@@ -108,3 +109,10 @@ r as (select doc_id as a, doc_id as b from d union select r.a, u.b from r join u
 m as (select a as doc_id, min(b) as component_id from r group by a)
 select documents.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, documents.doc_id = component_id as kept from documents join m using (doc_id) left join n using (doc_id)
 """
+
+
+def op9_html_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op9_html_extraction": op9_html_extraction}
