@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK
+from ..plans.shipping import ship
 from . import logs, recap
 
 # Scan of candidates, and thresholds of the hierarchical levels.
@@ -136,6 +137,7 @@ def chunks_by_chars(events: DataFrame, most_events: int = 80, most_chars: int =
 
 
 def _sql(spark, sf_dir, steps) -> DataFrame:
+    ship(spark)
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     return spark.sql(steps)
 
