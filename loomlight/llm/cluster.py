@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans import shipping
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
@@ -51,27 +51,6 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each SparkContext.
-
-    Arrow batches of whole texts hold BATCH_ROWS rows unless the session sets a number."""
-    sc = spark.sparkContext
-    if spark.conf.get(_ROWS) == "10000":
-        spark.conf.set(_ROWS, str(BATCH_ROWS))
-    if getattr(sc, "_loomlight_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    made = os.path.join(tempfile.mkdtemp(prefix="loomlight-py-"), "loomlight_src.zip")
-    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join(os.path.basename(top), os.path.relpath(full, top)))
-    sc.addPyFile(made)
-    sc._loomlight_shipped = True
-
-
 CARRIED = "input_row"
 BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -85,3 +64,11 @@ def schema_of(documents: DataFrame, ddl: str, carry: bool) -> T.StructType:
 
 def carried(carry: bool) -> list:
     return [F.struct("*").alias(CARRIED)] if carry else []
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers. Arrow batches of whole texts hold
+    BATCH_ROWS rows unless the session sets a number."""
+    shipping.ship(spark)
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
