@@ -8,9 +8,9 @@ pairs whose collision-corrected similarity, by bit counts over the packed
 signatures, is far too low (over six standard errors) are left out, the others
 are confirmed on the full sets, and confirmed links are closed to components.
 Then classes that share a bucket but not a component are paired as well, so no
-pair of a bucket goes unlooked at; in crowded buckets such pairs must agree in
-one more band. A link of similarity 0.75 misses every band with a chance of
-3e-7, and agrees in just one with 5e-6.
+pair of a bucket goes unlooked at; those whose buckets are all crowded must agree
+in one of WIDE sets of WIDE_ROWS minima as well. A link of similarity 0.75
+misses every band with a chance of 3e-7, and every wide set with about 1e-5.
 
 Nothing but counts and one checksum comes to the driver. Ids are broadcast only
 if there are at most BROADCAST_IDS of them, else the join shuffles.
@@ -35,6 +35,7 @@ ROWS, BANDS = 4, 40
 HASHES = ROWS * BANDS
 BITS = 2
 CROWDED = 64
+WIDE, WIDE_ROWS = 240, 10
 BROADCAST_IDS = 500_000
 _MULT = bb.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = bb.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
@@ -103,6 +104,29 @@ def sketches(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
+def wide_keys(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, c, key): keys of WIDE random sets of WIDE_ROWS minima, for the classes in ids (id, c).
+
+    Texts that share a passage only seldom agree in so many minima at once."""
+    rng = np.random.default_rng(11)
+    sets = np.array([rng.choice(HASHES, WIDE_ROWS, replace=False) for _ in range(WIDE)])
+
+    def run(batches):
+        for batch in batches:
+            for t in bb.blocks(batch.column("text")):
+                keys = []
+                for s in shingle_sets(t):
+                    m = minima(s)
+                    h = np.arange(WIDE, dtype=np.uint64) * bb.GRAM
+                    for k in range(WIDE_ROWS):
+                        h = bb.mix(h ^ m[sets[:, k]])
+                    keys.append(h.view(np.int64))
+                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+
+    texts = documents.join(few(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return texts.mapInArrow(run, "id long, keys array<long>").join(ids, "id").select("id", "c", F.explode("keys").alias("key"))
+
+
 def estimate(a: str, b: str) -> str:
     """SQL for the collision-corrected similarity of two packed signatures."""
     even = sum(1 << k for k in range(0, 62, BITS)) | (1 << 62)  # lowest bit of every pair
@@ -189,10 +213,13 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     rest = written(label.join(mixed, "key", "left_semi"), "rest")
     x, y = (rest.where(f"n <= {CROWDED}").select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
     more = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b")
-    if not rest.where(f"n > {CROWDED}").isEmpty():
-        full = rest.where(f"n > {CROWDED}").select("id", "c", "key").join(hits.select("id", F.col("key").alias("key2")), "id").where("key <> key2").select(F.least("key", "key2").alias("k1"), F.greatest("key", "key2").alias("k2"), "id", "c").distinct()
-        x, y = (full.select("k1", "k2", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
-        more = more.unionByName(x.join(y, ["k1", "k2"]).where("a < b and c_a <> c_b").select("a", "b"))
+    crowded = rest.where(f"n > {CROWDED}").select("id", "c").distinct()
+    if not crowded.isEmpty():
+        keys = wide_keys(known, written(crowded, "crowded"))
+        mixed = keys.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+        keys = written(keys.join(mixed, "key", "left_semi"), "wide")
+        x, y = (keys.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
+        more = more.unionByName(x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b"))
     more = written(likely(more.distinct().join(stars, ["a", "b"], "left_anti")), "pairs")
     if not more.isEmpty():
         links = links.unionByName(confirm(known, more, similarity))
