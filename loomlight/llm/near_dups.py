@@ -5,14 +5,18 @@ with equal sets form a class that is handled as one. A class's signature keeps
 the low bits of ROWS * BANDS minima, packed; each band of full minima is a
 bucket key. Every class is paired with the smallest id of each of its buckets;
 pairs whose collision-corrected similarity, by bit counts over the packed
-signatures, is far too low (over six standard errors) are left out, the others
+signatures, is far too low (over MARGIN standard errors) are left out, the others
 are confirmed on the full sets, and confirmed links are closed to components.
 Then classes that share a bucket but not a component are paired as well, so no
-pair of a bucket goes unlooked at; those whose buckets are all crowded must agree
-in one of WIDE sets of WIDE_ROWS minima as well. A link of similarity 0.75
-misses every band with a chance of 3e-7, and every wide set with about 1e-5.
-
-Nothing but counts and one checksum comes to the driver. Ids are broadcast only
+pair of a bucket goes unlooked at. In crowded buckets the pairs come from exact
+prefix filtering of the full sets, rarest shingle first: two sets that are similar
+enough share one of their first few, which a passage that many texts hold never is
+unless it makes up most of the text. A link of similarity 0.75 misses every band
+with a chance of 3e-7.
+
+Nothing but counts, one checksum and the RANKED most frequent shingles of crowded
+classes comes to the driver; shingles beyond those count as rare, which costs
+time but no link. Ids are broadcast only
 if there are at most BROADCAST_IDS of them, else the join shuffles.
 
 Defined results: null and wordless texts have an empty set and are alone; a
@@ -35,7 +39,8 @@ ROWS, BANDS = 4, 40
 HASHES = ROWS * BANDS
 BITS = 2
 CROWDED = 64
-WIDE, WIDE_ROWS = 240, 10
+MARGIN = 5
+RANKED = 1 << 17
 BROADCAST_IDS = 500_000
 _MULT = bb.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = bb.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
@@ -104,27 +109,57 @@ def sketches(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
-def wide_keys(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, c, key): keys of WIDE random sets of WIDE_ROWS minima, for the classes in ids (id, c).
-
-    Texts that share a passage only seldom agree in so many minima at once."""
-    rng = np.random.default_rng(11)
-    sets = np.array([rng.choice(HASHES, WIDE_ROWS, replace=False) for _ in range(WIDE)])
+def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles, c): the full sets of the classes in ids (id, c)."""
 
     def run(batches):
         for batch in batches:
             for t in bb.blocks(batch.column("text")):
-                keys = []
-                for s in shingle_sets(t):
-                    m = minima(s)
-                    h = np.arange(WIDE, dtype=np.uint64) * bb.GRAM
-                    for k in range(WIDE_ROWS):
-                        h = bb.mix(h ^ m[sets[:, k]])
-                    keys.append(h.view(np.int64))
-                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+                sets = pa.array([s.view(np.int64) for s in shingle_sets(t)], pa.list_(pa.int64()))
+                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), sets], names=["id", "shingles"])
 
     texts = documents.join(few(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return texts.mapInArrow(run, "id long, keys array<long>").join(ids, "id").select("id", "c", F.explode("keys").alias("key"))
+    return texts.mapInArrow(run, "id long, shingles array<long>").join(ids, "id")
+
+
+def prefixes(sets: DataFrame, similarity: int) -> DataFrame:
+    """(id, c, n, pos, key): the shingles of each set, rarest first, as far as a set that is similar enough must share one."""
+
+    def count(batches):
+        for batch in batches:
+            keys, n = np.unique(batch.column("shingles").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "key").limit(RANKED).toArrow().sort_by("key")
+    keys, often = (np.append(top.column(c).to_numpy(), 0).astype(np.int64) for c in ("key", "n"))
+
+    def run(batches):
+        for batch in batches:
+            n, first = [], []
+            for s in batch.column("shingles"):
+                s = s.values.to_numpy(zero_copy_only=False)
+                at = np.searchsorted(keys[:-1], s)
+                order = np.lexsort((s, np.where(keys[at] == s, often[at], 0)))
+                n.append(len(s))
+                first.append(s[order[: len(s) + similarity * -len(s) // 100 + 1]])
+            yield pa.record_batch([batch.column("id"), batch.column("c"), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["id", "c", "n", "first"])
+
+    return sets.select("id", "c", "shingles").mapInArrow(run, "id long, c long, n long, first array<long>").select("id", "c", "n", F.posexplode("first").alias("pos", "key"))
+
+
+def prefix_pairs(sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b), of different components c, that share a shingle early enough in both sets.
+
+    One side holds only rows outside the largest component of the shingle."""
+    rows = prefixes(sets, similarity)
+    each = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    mixed = each.groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "most")
+    rows = written(rows.join(mixed, "key"), "prefixes")
+    x, y = rows.where("c <> most").alias("x"), rows.alias("y")
+    need = f"-floor(-{similarity} * (x.n + y.n) / {100 + similarity}D)"
+    close = f"x.key = y.key and x.c <> y.c and x.pos <= x.n - {need} and y.pos <= y.n - {need} and 100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
+    return x.join(y, F.expr(close)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def estimate(a: str, b: str) -> str:
@@ -201,8 +236,10 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
         a = bits.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
         b = bits.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bits").alias("bits_b"))
         got = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
-        margin = 6 * (0.25 / HASHES) ** 0.5  # more than six standard errors of the share of equal bits, corrected
-        return got.where(f"{estimate('bits_a', 'bits_b')} >= {similarity / 100 - margin / (1 - 1 / (1 << BITS))}").select("a", "b").distinct()
+        by_chance = 1 / (1 << BITS)
+        equal = similarity / 100 * (1 - by_chance) + by_chance  # share of equal low bits at the similarity asked for
+        margin = MARGIN * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - by_chance)
+        return got.where(f"{estimate('bits_a', 'bits_b')} >= {similarity / 100 - margin}").select("a", "b").distinct()
 
     stars = hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirm(known, written(likely(stars), "pairs"), similarity), "confirmed")
@@ -215,11 +252,8 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     more = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b")
     crowded = rest.where(f"n > {CROWDED}").select("id", "c").distinct()
     if not crowded.isEmpty():
-        keys = wide_keys(known, written(crowded, "crowded"))
-        mixed = keys.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-        keys = written(keys.join(mixed, "key", "left_semi"), "wide")
-        x, y = (keys.select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
-        more = more.unionByName(x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b"))
+        sets = written(full_sets(known, written(crowded, "crowded")), "sets")
+        more = more.unionByName(prefix_pairs(sets, similarity))
     more = written(likely(more.distinct().join(stars, ["a", "b"], "left_anti")), "pairs")
     if not more.isEmpty():
         links = links.unionByName(confirm(known, more, similarity))

@@ -103,6 +103,32 @@ def test_near_dups(docs, empty):
     assert near_dups.group(empty).count() == 0
 
 
+def test_near_dups_in_crowded_buckets(spark, monkeypatch):
+    """Variants of one text, of every distance to it, and texts that share a passage: as brute force, by either way."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), rnd.randrange(0, 6)):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        if k % 4 == 0:
+            w = base[:60] + [f"y{rnd.randrange(10**6)}" for _ in range(rnd.randrange(5, 40))]
+        rows.append((k, " ".join(w)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    assert 10 < len(set(want.values())) < 150
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowded in (1, near_dups.CROWDED, 10**6):
+        monkeypatch.setattr(near_dups, "CROWDED", crowded)
+        assert {r["doc_id"]: r["component_id"] for r in near_dups.group(frame).collect()} == want
+
+
 def test_near_dups_estimate_is_close():
     s = np.unique(np.random.default_rng(0).integers(0, 2**63, 2000).astype(np.uint64))
     a, b = near_dups.packed(near_dups.minima(s[:1700])), near_dups.packed(near_dups.minima(s[200:]))
