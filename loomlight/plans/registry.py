@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from ..operators import digest, grouped, logs, recap, text, turns
+from ..operators import digest, grouped, logs, recap, text, turns, vectors
 
 TABLES = ("events", "documents", "conversations", "embeddings", "benchmark", "labels", "pages")
 DEFINITIONS = {**logs.QUERIES, **turns.QUERIES, **digest.QUERIES, **recap.QUERIES, **text.QUERIES}
@@ -25,7 +25,7 @@ def _run(definition):
 
 
 def queries() -> dict:
-    return {name: _run(x) for name, x in DEFINITIONS.items()} | grouped.QUERIES
+    return {name: _run(x) for name, x in DEFINITIONS.items()} | grouped.QUERIES | vectors.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
