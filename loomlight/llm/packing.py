@@ -2,8 +2,9 @@
 
 Only the histogram of piece lengths (at most `capacity` counts) meets on the
 driver. There, large lengths are cut into groups of equal cardinality and
-rounded up to the largest of their group; configurations of the few sizes left
-are chosen by the fullest sum; actual lengths replace the rounded ones, run by
+rounded up to the largest of their group; configurations of the sizes left (64
+groups, or a finer grouping where that takes fewer sequences) are chosen by the
+fullest sum; actual lengths replace the rounded ones, run by
 run; small lengths then go best-fit into what is free. The plan is a bounded
 list of runs of equal sequences. A piece finds its place from its length and
 its rank among the pieces of that length, which comes from a rank inside its
@@ -105,7 +106,7 @@ class Runs:
 
 
 def _groups(lengths: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
-    """(length, count) runs, largest first, in groups of equal cardinality."""
+    """(length, count) runs, largest first, in groups of equal cardinality; those rounded up to the same length are one."""
     total = sum(n for _, n in lengths)
     size, out, room = -(-total // groups), [], 0
     for length, n in lengths:
@@ -116,7 +117,13 @@ def _groups(lengths: list[tuple[int, int]], groups: int) -> list[list[tuple[int,
             took = min(n, room)
             out[-1].append((length, took))
             n, room = n - took, room - took
-    return out
+    merged = []
+    for g in out:
+        if merged and merged[-1][0][0] == g[0][0]:
+            merged[-1] += g
+        else:
+            merged.append(g)
+    return merged
 
 
 def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -159,23 +166,31 @@ def _substitute(configs, groups) -> list[tuple[int, tuple[int, ...]]]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 64, small: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs (how many sequences, their lengths) that hold every piece of the histogram."""
-    small = small or capacity // 4
-    every = sorted(((x, n) for x, n in histogram.items() if n and x < capacity), reverse=True)
-    full = [(histogram[capacity], (capacity,))] if histogram.get(capacity) else []
-    grouped = Runs(capacity)
+def _grouped(every: list[tuple[int, int]], capacity: int, groups: int, small: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The runs for one number of groups."""
+    out = Runs(capacity)
     large = _groups([r for r in every if r[0] > small], groups)
     sizes, demand = [g[0][0] for g in large], [sum(n for _, n in g) for g in large]
     for n, inside in _substitute(_configurations(sizes, demand, capacity), large):
-        grouped.put(n, inside)
+        out.put(n, inside)
     for x, n in every:
         if x <= small:
-            grouped.best_fit(x, n)
-    plain = Runs(capacity)  # best fit decreasing of everything, kept where the groups cost more sequences
-    for x, n in every:
-        plain.best_fit(x, n)
-    return full + min((grouped.all(), plain.all()), key=lambda runs: sum(n for n, _ in runs))
+            out.best_fit(x, n)
+    return out.all()
+
+
+def plan(histogram: dict[int, int], capacity: int, groups: int = 64, small: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
+    """Runs (how many sequences, their lengths) that hold every piece of the histogram.
+
+    The groups are doubled, which rounds less, until there is one for each large piece; the number with the fewest
+    sequences is taken. At most `capacity` lengths are left of them, so each doubling costs the same."""
+    small = small or capacity // 4
+    every = sorted(((x, n) for x, n in histogram.items() if n and x < capacity), reverse=True)
+    full = [(histogram[capacity], (capacity,))] if histogram.get(capacity) else []
+    counts = [groups]
+    while counts[-1] < sum(n for x, n in every if x > small):
+        counts.append(2 * counts[-1])
+    return full + min((_grouped(every, capacity, g, small) for g in counts), key=lambda runs: sum(n for n, _ in runs))
 
 
 def places(runs) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
