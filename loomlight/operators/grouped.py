@@ -153,5 +153,5 @@ def _greedy(spark, sf_dir):
 QUERIES = {
     "clusters_greedy": _greedy,
     "clusters_hierarchical": lambda spark, sf_dir: clusters_hierarchical(_events(spark, sf_dir)),
-    "recap_chunks_by_chars": lambda spark, sf_dir: chunks_by_chars(_sql(spark, sf_dir, recap.QUERIES["recap_timeline"](SPARK)), 20, 1500),
+    "recap_chunks_by_chars": lambda spark, sf_dir: chunks_by_chars(_sql(spark, sf_dir, recap.WHOLE["recap_timeline_whole"](SPARK)), recap.MOST_EVENTS, recap.MOST_CHARS),
 }

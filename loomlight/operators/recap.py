@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..functions import rules as r
 from ..sources.logs import LINES
-from .digest import DECISIONS, ERROR_LINE, FILES, valid_path
+from .digest import DECISIONS, ERROR_LINE, FILES, errors, valid_path
 from .logs import query
 from .turns import turn_type
 
@@ -18,6 +18,7 @@ ISSUE = r"error|failed|exception|panic|crash|timeout|fatal|segfault"
 COMMAND = r"(?i)bash -lc|rg -n|ls -la|pnpm|npm|yarn|git\s|xcode|gradle|adb|fastlane|flutter|expo|buck|bazel"
 CHANGE = r"(?i)(added|created|updated|implemented|refactor|hook|dialog|route|screen|view|component|service|controller|handler|api|endpoint|migration|schema|adapter|widget|fragment|activity|swift|kotlin|objective-c|java|android|ios|react native|lambda|cloud|infra|terraform|helm|docker|kubernetes|monitoring|telemetry|ci|cd)"
 PLAN = r"(?i)(decide|plan|milestone|stack|should focus|roadmap|next steps|prioritize|strategy|architecture|approach|proposal)"
+MOST_EVENTS, MOST_CHARS = 80, 18_000
 GROUPS = (("briefing", "Initial context", 3), ("command", "Investigations", 4), ("action", "Implementation", 5), ("error", "Issues", 5), ("decision", "Decisions", 3), ("note", "Notes", 3))
 
 
@@ -91,6 +92,28 @@ def timeline(d):
     )
 
 
+def whole_timeline(d):
+    """The briefing, all user events and the newest others in the slots left, in order; then the five leading errors."""
+    return (
+        ("v0", "select doc_id, cast(count(*) as bigint) as n_brief from br where nth <= 3 group by doc_id"),
+        ("v1", "select o0.doc_id, most - coalesce(n_brief, 0) as room from o0 left join v0 on o0.doc_id = v0.doc_id"),
+        ("v2", "select z.*, room, case when raw like 'USER:%' then 1 else 0 end as said from z join v1 on z.doc_id = v1.doc_id"),
+        ("v3", "select *, sum(said) over (partition by doc_id) as n_said, row_number() over (partition by doc_id, said order by idx desc) as newest from v2"),
+        ("v4", "select *, row_number() over (partition by doc_id order by frequency desc, first_line) as rank from er"),
+        (
+            "v5",
+            f"select doc_id, 0 as part, nth - 1 as ord, 0 as late, idx, 'briefing' as kind, cast(null as string) as intent, {r.trim(d, 'body')} as summary from br where nth <= 3"
+            " union all select doc_id, 0 as part, idx as ord, 1 as late, idx, kind, intent, summary from v3 where said = 1 or newest <= room - n_said"
+            f" union all select doc_id, 1 as part, rank as ord, 0 as late, cast(null as bigint) as idx, 'error' as kind, cast(null as string) as intent, concat('Error ', signature, ': ', {cut('message', 180)}) as summary from v4 where rank <= 5",
+        ),
+        ("o", "select *, cast(row_number() over (partition by doc_id order by part, ord, late) - 1 as bigint) as place from v5"),
+    )
+
+
+def whole_chunks(d):
+    return (("ch", f"select *, cast(floor(place / {MOST_EVENTS}) as bigint) as chunk, case when kind = 'briefing' then 'briefing' when intent = 'command' then 'command' when kind in ('action', 'error', 'decision') then kind else 'note' end as grp from o"),)
+
+
 def chunks(d, most=20):
     return (("ch", f"select *, cast(floor(place / {most}) as bigint) as chunk, case when intent = 'command' then 'command' when kind in ('action', 'error', 'decision') then kind else 'note' end as grp from o"),)
 
@@ -153,3 +176,19 @@ QUERIES = {
     "transcript_parse": lambda d: query(*speech(d), ("", "select conv_id, nth, message from c where nth <= 2000")),
     "chat_json_parse": lambda d: query(*exported(d), ("", f"select conv_id, {d.agg_join('part', 'concat(chr(10), chr(10))', 'pos')} as text from j2 where length(part) > 10 group by conv_id")),
 }
+
+
+def _whole(*more):
+    """The registered select of a query over the whole timeline."""
+    limit = lambda d: timeline(d)[:1]
+    return lambda select: on(events, briefing, errors, limit, whole_timeline, *more, select=select)
+
+
+# Run by Spark in place of the definition of that name, which holds the events alone; recap_timeline_whole is beside recap_timeline.
+WHOLE = {
+    "recap_timeline_whole": _whole()("select doc_id, place, idx, kind, intent, summary from o"),
+    "recap_chunks_by_count": _whole(whole_chunks)("select doc_id, chunk, cast(count(*) as bigint) as n_events, cast(sum(length(summary)) as bigint) as n_chars from ch group by doc_id, chunk"),
+    "recap_chunk_groups": _whole(whole_chunks, sections)("select doc_id, chunk, grp, n, section from h"),
+    "recap_highlights": _whole(whole_chunks)("select doc_id, grp, cast(count(*) as bigint) as n, cast(count(distinct summary) as bigint) as n_distinct from ch where grp <> 'error' group by doc_id, grp"),
+    "render_recap": _whole(whole_chunks, sections)(lambda d: f"select doc_id, {d.agg_join('block', 'concat(chr(10), chr(10))', 'chunk')} as recap from (select doc_id, chunk, concat('### Block ', cast(chunk + 1 as string), chr(10), {d.agg_join('section', 'chr(10)', 'sort_key')}) as block from h group by doc_id, chunk) t group by doc_id"),
+}

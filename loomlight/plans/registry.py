@@ -25,7 +25,7 @@ def _run(definition):
 
 
 def queries() -> dict:
-    return {name: _run(x) for name, x in DEFINITIONS.items()} | grouped.QUERIES | vectors.QUERIES
+    return {name: _run(x) for name, x in (DEFINITIONS | recap.WHOLE).items()} | grouped.QUERIES | vectors.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

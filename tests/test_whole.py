@@ -63,3 +63,37 @@ def test_packing_places_large_pieces_by_the_groups():
         for x in inside:
             placed[x] += n
     assert got in wanted and placed == histogram
+
+
+def test_recap_holds_briefing_and_errors(spark):
+    """Timeline and chunks against the steps of the reference over its parts."""
+    rows = lambda name, by: {d: sorted(g, key=lambda r: r[by]) for d, g in grouped_rows(registry.queries()[name](spark, DATA)).items()}
+    events, brief, errors, turns = rows("recap_events", "idx"), rows("recap_briefing", "nth"), rows("digest_errors", "rank"), rows("recap_relevance", "idx")
+    timeline, groups, chunks = rows("recap_timeline_whole", "place"), rows("recap_chunk_groups", "grp"), rows("recap_chunks_by_chars", "place")
+    by_count, highlights = rows("recap_chunks_by_count", "chunk"), rows("recap_highlights", "grp")
+    assert any(errors.values()) and any(brief.values())
+    for d in turns:
+        first = [(r["nth"] - 1, 0, "briefing", r["summary"].strip()) for r in brief.get(d, [])]
+        spoken = lambda r: r["idx"] % 4 == 0 or r["idx"] < 2
+        said = [r for r in events.get(d, []) if spoken(r)]
+        slots = max(400, min(2400, len(turns[d]) * 3 // 4)) - len(first) - len(said)
+        others = [r for r in events.get(d, []) if not spoken(r)][-slots:] if slots > 0 else []
+        want = [x[2:] for x in sorted(first + [(r["idx"], 1, r["kind"], r["summary"]) for r in said + others], key=lambda x: x[:2])]
+        want += [("error", f"Error {r['signature']}: {r['message']}") for r in errors.get(d, [])[:5]]
+        assert [(r["kind"], r["summary"]) for r in timeline.get(d, [])] == want
+        assert ("briefing" in {r["grp"] for r in groups.get(d, [])}) == bool(first) == ("briefing" in {r["grp"] for r in highlights.get(d, [])})
+        assert sum(r["n_events"] for r in by_count.get(d, [])) == len(want) and all(r["n_events"] <= 80 for r in by_count.get(d, []))
+        chunk, n, chars = 0, 0, 0
+        for (kind, summary), r in zip(want, chunks.get(d, []), strict=True):
+            size = len(f"[{kind}] {summary}")
+            if n >= 80 or (n and chars + size > 18_000):
+                chunk, n, chars = chunk + 1, 0, 0
+            n, chars = n + 1, chars + size
+            assert r["chunk"] == chunk
+
+
+def grouped_rows(frame):
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
