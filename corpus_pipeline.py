@@ -28,11 +28,12 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def suffix_dedup(spark, docs, sf_dir):
-    """Texts without the byte strings that repeat; characters cut by a removal go as well."""
-    out = remove_repeats(docs, carry=True)
-    text = F.when(F.col(f"{CARRIED}.text").isNotNull(), F.col("clean"))
-    changed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"{CARRIED}.{c}") for c in docs.columns])
+    """Texts without the passages of over 50 words that another document holds too.
+
+    Every string of 50 words is looked at, so that a passage whose first or last word touches other signs is found as well."""
+    out = remove_repeats(docs, length=50, gram=20, unit="word", across=True, stable=True, carry=True)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"{CARRIED}.`{c}`") for c in docs.columns])
 
 
 def decontamination(spark, docs, sf_dir):

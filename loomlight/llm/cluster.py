@@ -62,8 +62,10 @@ def schema_of(documents: DataFrame, ddl: str, carry: bool) -> T.StructType:
     return T.StructType([*out.fields, T.StructField(CARRIED, documents.schema)]) if carry else out
 
 
-def carried(carry: bool) -> list:
-    return [F.struct("*").alias(CARRIED)] if carry else []
+def carried(carry: bool, columns: list[str] | None = None) -> list:
+    """The input row as a struct, or these columns of it."""
+    every = ["*"] if columns is None else [F.col(f"`{c}`") for c in columns]
+    return [(F.struct(*every) if every else F.struct(F.lit(0).alias("none"))).alias(CARRIED)] if carry else []
 
 
 def ship(spark: SparkSession) -> None:

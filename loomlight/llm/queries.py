@@ -87,10 +87,25 @@ QUERIES |= {"op3_importance_resampling": op3_importance_resampling, "op5_toxicit
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("clean")
+    return remove_repeats(table(spark, sf_dir, "documents"), stable=True)
 
 
 QUERIES |= {"op6_suffix_dedup": op6_suffix_dedup}
+SQL["op6_suffix_dedup"] = r"""
+with d as (select row_number() over () as r, doc_id, text is null as none, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select r, base, length(h) // 2 - 399 - base as n, substr(h, 2 * base + 1, 2 * (512 + 399)) as part from (select r, h, unnest(range(0, length(h) // 2 - 399, 512)) as base from d where length(h) >= 800)),
+w as (select r, base + q as p, md5(substr(part, 2 * q + 1, 800)) as k from (select r, base, part, unnest(range(0, least(n, 512))) as q from c)),
+s as (select r, p from (select r, p, count(*) over (partition by k) as n from w) where n > 1),
+n as (select r, p, case when p > lag(p) over (partition by r order by p) + 400 then 1 else 0 end as new from s),
+i as (select r, p, sum(new) over (partition by r order by p) as island from n),
+g as (select r, min(p) as a, max(p) + 400 as e from i group by r, island),
+o as (select r, a, e, lag(e, 1, 0) over (partition by r order by a) as before from g),
+k as (select r, count(*) as n_spans, sum(e - a) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(e) + 1) as kept from o join d using (r) group by r),
+f as (select doc_id, none, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(kept, h) as kept from d left join k using (r))
+select doc_id, cast(n_bytes as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans, sha256(unhex(kept)) as kept_sha256,
+ case when not none then decode(unhex(regexp_replace(kept, '([0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9A-CEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[123][89AB].[89AB].[89AB].|F48.[89AB].[89AB].)|..', '\1', 'g'))) end as text
+from f
+"""
 
 
 def op2_minhash_near_dedup(spark, sf_dir):

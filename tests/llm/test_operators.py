@@ -143,20 +143,126 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, 31)} | {51: 50}
 
 
-def test_suffixes(docs, empty):
-    seen = Counter(t[k : k + 400] for t in ((x or "").encode() for x in TEXTS) for k in range(len(t) - 399))
-    got = by_id(suffixes.remove_repeats(docs, stable=False))
-    for i, t in enumerate(TEXTS):
+def covered(units, seen, length, enough):
+    gone = np.zeros(len(units), bool)
+    for k in range(len(units) - length + 1):
+        if enough(seen[tuple(units[k : k + length])]):
+            gone[k : k + length] = True
+    return gone
+
+
+def check_suffixes(spark, texts, monkeypatch=None, **options):
+    """remove_repeats over texts (repeated doc_id, clashing names) against brute force."""
+    length, word, across = options.get("length", 400), options.get("unit") == "word", options.get("across", False)
+    split = (lambda t: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]) if word else (lambda t: list((t or "").encode()))
+    seen = {}
+    for i, t in enumerate(texts):
+        u = split(t)
+        for k in range(len(u) - length + 1):
+            seen.setdefault(tuple(u[k : k + length]), []).append(i)
+    enough = (lambda where: len(set(where)) > 1) if across else (lambda where: len(where) > 1)
+    frame = spark.createDataFrame([(i, t, "a", "b", i) for i, t in enumerate(texts)], "doc_id long, text string, row string, units string, m long").repartition(3)
+    got = by_id(suffixes.remove_repeats(frame, carry=True, **options))
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        gone = covered(split(t), seen, length, enough)
         raw = (t or "").encode()
-        gone = np.zeros(len(raw), bool)
-        for k in range(len(raw) - 399):
-            if seen[raw[k : k + 400]] > 1:
-                gone[k : k + 400] = True
+        if word:
+            starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] + [len(raw)]
+            bytes_gone = np.zeros(len(raw), bool)
+            for k in np.flatnonzero(gone):
+                bytes_gone[starts[k] : starts[k + 1]] = True
+            gone = bytes_gone
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) == (len(raw), int(gone.sum()), spans)
-        assert got[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
-    assert suffixes.remove_repeats(empty, stable=False).count() == 0
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(raw), int(gone.sum()), spans)
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest() and r["input_row"]["m"] == i
+        assert r["text"] == (None if t is None else kept.decode(errors="ignore"))
+
+
+@pytest.fixture(scope="module")
+def shared_passages():
+    """Texts that share passages of every length about 60 words, within and across texts, with periodic parts."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 8)))
+    pool = [[word() for _ in range(rnd.randint(40, 90))] for _ in range(6)]
+    out = [None, "", "  ", "ab " * 300, "ab " * 260 + "c", "q" * 900]
+    for _ in range(40):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            p = rnd.choice(pool)
+            a = rnd.randint(0, 12)
+            parts += p[a : len(p) - rnd.randint(0, 12)] if rnd.random() < 0.7 else [word() for _ in range(rnd.randint(1, 60))]
+        out.append(rnd.choice([" ", "  "]).join(parts))
+    return out + out[20:24] + out[20:21]
+
+
+@pytest.mark.parametrize("options", [{}, {"across": True}, {"length": 60, "gram": 13}, {"length": 50, "gram": 20, "unit": "word"}, {"length": 50, "gram": 20, "unit": "word", "across": True}, {"length": 9, "gram": 9, "unit": "word", "across": True}])
+def test_suffixes(spark, shared_passages, monkeypatch, options):
+    check_suffixes(spark, shared_passages, **options)
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    monkeypatch.setattr(suffixes, "SEGMENT", 700)
+    check_suffixes(spark, shared_passages, **options)
+
+
+def test_suffixes_of_odd_tables(spark, docs, empty):
+    check_suffixes(spark, TEXTS)
+    assert suffixes.remove_repeats(empty).count() == suffixes.remove_repeats(empty, carry=True, across=True).count() == 0
+    long = " ".join(f"w{k}" for k in range(300_000))
+    check = by_id(suffixes.remove_repeats(spark.createDataFrame([(1, long), (1, None), (2, "x" + long[5000:9000])], "doc_id long, text string").where("text is not null")))
+    assert check[1]["n_removed"] == check[2]["n_removed"] == 4000
+
+
+def test_suffixes_across_bucket_boundaries():
+    """Sorted suffixes dealt to buckets of any sizes get the flags that one bucket gives."""
+    rnd = random.Random(2)
+    for trial in range(60):
+        across = trial % 2 == 0
+        reach = 2 if across else 1
+        rows = sorted((rnd.randint(0, 3), rnd.randint(0, 2), 0, rnd.randint(0, 3), k) for k in range(rnd.randint(1, 25)))
+        table = lambda part: pa.record_batch([pa.array([r[c] for r in part], pa.int64()) for c in (0, 1, 2, 3, 4)], names=["m", "d1", "d2", "row", "a"])
+        streaks = sorted({r[:4] for r in rows}) if across else rows
+        want = {}
+        for s in streaks:
+            same = [x for x in streaks if x[0] == s[0] and x != s]
+            want[s] = any(x[1] == s[1] for x in same)
+        cuts = sorted({0, len(rows), *(rnd.randint(0, len(rows)) for _ in range(rnd.randint(0, 6)))})
+        if across:  # a streak is never split
+            cuts = [c for c in cuts if c in (0, len(rows)) or rows[c][:4] != rows[c - 1][:4]]
+        found = []
+        for task, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            part = rows[x:y]
+            step = rnd.randint(1, 5)
+            for b in suffixes.compare_neighbours((table(part[i : i + step]) for i in range(0, len(part), step)), across, reach, task):
+                found += b.to_pylist()
+        patch = {(t, e): (w, p) for t, e, w, p in suffixes.across_boundaries(list({(r["task"], r["edge"], r["m"], r["d1"], r["d2"]) for r in found if r["edge"]}), reach)}
+        flags = {}
+        for r in found:
+            more = patch.get((r["task"], r["edge"]), (False, False))
+            flags[(r["m"], r["d1"], r["d2"], r["row"], r["a"])] = (r["whole"] or more[0], r["part"] or more[1])
+        for r in rows:
+            assert flags.get(r, (False, False))[0] == want[r[:4] if across else r]
+        for m in {r[0] for r in rows}:  # covers of one token: each has a row in the byte compare, and two if it has two texts
+            mine = [r for r in rows if r[0] == m]
+            covers = {r[1] for r in mine}
+            for c in covers if len(covers) > 1 else ():
+                sent = {r[3] for r in mine if r[1] == c and flags.get(r, (0, 0))[1]}
+                assert len(sent) >= min(2 if across else 1, len({r[3] for r in mine if r[1] == c}))
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 3, (400, 6)).astype(np.uint64) << np.uint64(60)
+    group = np.sort(rng.integers(0, 9, 400))
+    order = suffixes.multikey_quicksort(tokens, group)
+    got = [(group[i], *tokens[i].tolist()) for i in order]
+    assert sorted(order.tolist()) == list(range(400)) and got == sorted(got)
+    shared = suffixes.common(tokens[order], group[order], 8)
+    for k in range(1, 400):
+        x, y = (tokens[order[j]].astype(">u8").tobytes() for j in (k - 1, k))
+        same = next((i for i in range(48) if x[i] != y[i]), 48)
+        assert shared[k] == (same if group[order[k]] == group[order[k - 1]] else -1)
 
 
 def test_packing(docs, empty):
