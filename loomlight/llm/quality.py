@@ -1,11 +1,15 @@
 r"""Quality rules by weak supervision, in DataFrame and SQL functions only.
 
 Each rule looks at counts of the whole text and votes good (1), bad (-1) or
-abstains (0). A latent quality explains the votes: expectation-maximisation
-estimates how accurate each rule is when it votes, and the share of good
-documents; the posterior probability of good decides, instead of all rules
-having to pass. Only the counts of the vote patterns (at most 3 ** rules rows)
-enter the estimate, which is one SQL fold over one row.
+abstains (0). A latent kind explains the votes: good documents are one kind, bad
+ones are of as many kinds as there are rules, each led by one rule at the start.
+Expectation-maximisation estimates each kind's share and each rule's chance to
+vote bad on it; the posterior probability of the good kind decides, instead of
+all rules having to pass, so a single bad vote of a rule that good documents
+break as well does not reject. What identifies the good kind is a beta prior on
+its rules' false alarms (`false_alarm`, as heavy as `weight` times the number of
+documents); nothing else bounds the estimates. Only the counts of the vote
+patterns (at most 3 ** rules rows) enter, in one SQL fold over one row.
 
 Defined results: null and wordless texts have zero counts, fail the base rule
 and get the posterior of their votes; an empty table gives no rows and the prior
@@ -14,6 +18,7 @@ model; repeated rows give one row each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,13 +41,14 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words < 10", "n_words >= 50"),
-    Rule("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words and n_words >= 50"),
-    Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words and n_words >= 20"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words", "word_chars between 3 * n_words and 10 * n_words and n_words >= 20"),
-    Rule("dup_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines >= 2"),
-    Rule("capitals", "3 * n_upper > word_chars", "20 * n_upper <= word_chars and n_words >= 20"),
-    Rule("stops", "20 * n_sentence_ends < n_words and n_words >= 100 and n_sentence_ends = 0 or n_exclaims * 4 > n_words", "n_sentence_ends * 40 >= n_words and n_words >= 20"),
+    Rule("length", "n_words < 40", "n_words >= 50"),
+    Rule("repeats", "10 * n_repeat_words > n_words", "20 * n_repeat_words <= n_words and n_words >= 20"),
+    Rule("symbols", "20 * n_symbols > n_words", "100 * n_symbols <= n_words and n_words >= 20"),
+    Rule("word_length", "word_chars < 3 * n_words or word_chars > 10 * n_words", "word_chars between 4 * n_words and 8 * n_words and n_words >= 20"),
+    Rule("dup_lines", "5 * n_dup_lines > n_lines", "n_dup_lines = 0 and n_lines >= 2"),
+    Rule("capitals", "5 * n_upper > word_chars", "20 * n_upper <= word_chars and n_words >= 20"),
+    Rule("stops", "n_words >= 30 and 60 * n_sentence_ends < n_words or n_words >= 20 and 4 * n_sentence_ends > n_words", "40 * n_sentence_ends >= n_words and 5 * n_sentence_ends <= n_words and n_words >= 20"),
+    Rule("exclaims", "2 * n_exclaims > n_sentence_ends", "10 * n_exclaims <= n_sentence_ends and n_words >= 20"),
 )
 
 
@@ -79,41 +85,42 @@ def _vote(r: Rule) -> str:
     return f"case when {r.bad} then -1 when {r.good} then 1 else 0 end"
 
 
-def label_model(patterns: DataFrame, n_rules: int, rounds: int = 30, share: float = 0.85, false_alarm: float = 0.002, recall: float = 0.25) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents, and per rule the chance of a bad vote, given that it votes, in
-    (good, bad) documents; from vote patterns (votes array<int>, n long).
-
-    Bad documents are of several kinds, and a kind may break one rule only, so the
-    estimate is bounded: false alarms are at most 0.002 and recall is 0.2 to 0.5,
-    or rules that are broken together would outvote one that is broken alone.
-    Abstentions tell nothing."""
-    ratio = "aggregate(sequence(0, {r} - 1), 0D, (a, j) -> a + case p.votes[j] when 0 then 0D when -1 then ln(m.bad[j] / m.good[j]) else ln((1 - m.bad[j]) / (1 - m.good[j])) end)".format(r=n_rules)
-    posterior = f"transform(ps, p -> 1 / (1 + exp(least(500D, ln((1 - m.share) / m.share) + {ratio}))))"
-    total = "aggregate(zip_with(ps, q, (p, g) -> p.n * {x}), 0D, (a, x) -> a + x)".format
-    against = lambda g: f"({total(x=f'if(p.votes[j] = -1, {g}, 0D)')} + {{0}}) / ({total(x=f'if(p.votes[j] = 0, 0D, {g})')} + 10D)"
-    alarms = f"least(0.002D, greatest(0.0002D, {against('g').format(10 * false_alarm)}))"
-    found = f"least(0.5D, greatest(0.2D, {against('(1 - g)').format(10 * recall)}))"
+def label_model(patterns: DataFrame, n_rules: int, rounds: int = 60, share: float = 0.85, false_alarm: float = 0.02, weight: float = 0.5) -> tuple[list[float], list[list[float]]]:
+    """Share of each kind (good first), and for each kind and rule the chance of a bad vote, given
+    that the rule votes; from vote patterns (votes array<int>, n long). Abstentions tell nothing."""
+    kinds, rules = f"sequence(0, {n_rules})", f"sequence(0, {n_rules - 1})"
+    with_logs = "transform({}, b -> named_struct('v', b, 'x', ln(b), 'y', ln(1 - b)))".format
+    start = f"""
+      named_struct('share', transform({kinds}, k -> if(k = 0, {share}D, {(1 - share) / n_rules}D)),
+        'bad', transform({kinds}, k -> {with_logs(f"transform({rules}, j -> case when k = 0 then {false_alarm}D when j = k - 1 then 0.8D else 0.1D end)")}))"""
+    logits = "transform(m.bad, (r, k) -> aggregate(zip_with(p.votes, r, (v, b) -> case v when 0 then 0D when -1 then b.x else b.y end), ln(m.share[k]), (s, x) -> s + x))"
+    relative = f"transform(array({logits}), l -> transform(l, x -> exp(x - array_max(l))))[0]"
+    # per pattern, the documents of each kind
+    dealt = f"transform(ps, p -> transform(array({relative}), e -> struct(p.votes as votes, transform(e, x -> p.n * x / aggregate(e, 0D, (s, y) -> s + y)) as w))[0])"
+    total = "aggregate(ws, 0D, (s, p) -> s + if({condition}, p.w[k], 0D))".format
+    alarms = f"({weight}D * aggregate(ps, 0D, (s, p) -> s + p.n) + 100D)"
     step = f"""
-      transform(array({posterior}), q -> struct(
-        least(0.99D, greatest(0.01D, ({total(x='g')} + 8) / (aggregate(ps, 0D, (a, p) -> a + p.n) + 10))) as share,
-        transform(sequence(0, {n_rules} - 1), j -> {alarms}) as good,
-        transform(sequence(0, {n_rules} - 1), j -> {found}) as bad))[0]
-    """
-    start = f"struct(cast({share} as double) as share, array_repeat(cast({false_alarm} as double), {n_rules}) as good, array_repeat(cast({recall} as double), {n_rules}) as bad)"
+      transform(array({dealt}), ws -> named_struct(
+        'share', transform({kinds}, k -> ({total(condition="true")} + 1) / (aggregate(ps, 0D, (s, p) -> s + p.n) + {n_rules + 1})),
+        'bad', transform({kinds}, k -> {with_logs(f"""transform({rules}, j ->
+          ({total(condition="p.votes[j] = -1")} + if(k = 0, {false_alarm} * {alarms}, 1D)) / ({total(condition="p.votes[j] <> 0")} + if(k = 0, {alarms}, 2D)))""")})))[0]"""
     row = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("ps")).select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (m, r) -> {step})").alias("m")).first()
-    return row["m"]["share"], list(zip(row["m"]["good"], row["m"]["bad"]))
+    return list(row["m"]["share"]), [[b["v"] for b in kind] for kind in row["m"]["bad"]]
 
 
-def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.9) -> DataFrame:
+def posterior(share: list[float], bad: list[list[float]]) -> str:
+    """SQL for the chance of the good kind, given `votes`."""
+    against = []
+    for s, b in zip(share[1:], bad[1:]):
+        votes = (f"case votes[{j}] when -1 then {math.log(x / g)!r}D when 1 then {math.log((1 - x) / (1 - g))!r}D else 0D end" for j, (x, g) in enumerate(zip(b, bad[0])))
+        against.append(f"exp(least(500D, {math.log(s / share[0])!r}D + {' + '.join(votes)}))")
+    return f"1 / (1 + {' + '.join(against)})"
+
+
+def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """Base counts, base_failed, the posterior of good, and kept."""
     got = written(counts(documents, doc_id, text).withColumn("votes", F.expr("array(" + ", ".join(_vote(r) for r in rules) + ")")), "counts")
-    share, chances = label_model(got.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), len(rules))
-    logit = " + ".join(
-        [
-            f"ln({share!r}D / {1 - share!r}D)",
-            *(f"case votes[{j}] when -1 then ln({g!r}D / {b!r}D) when 1 then ln({1 - g!r}D / {1 - b!r}D) else 0D end" for j, (g, b) in enumerate(chances)),
-        ]
-    )
+    model = label_model(got.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), len(rules))
     return got.select(
         "doc_id",
         "n_words",
@@ -122,5 +129,5 @@ def judge(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
         "n_dup_lines",
         "n_repeat_words",
         F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
-        F.expr(f"1 / (1 + exp(-({logit})))").alias("posterior"),
+        F.expr(posterior(*model)).alias("posterior"),
     ).select("*", F.expr(f"not base_failed and posterior >= {threshold}").alias("kept"))

@@ -62,10 +62,40 @@ from t group by conv_id
 
 
 def op8_quality_rules(spark, sf_dir):
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("posterior")
 
 
 QUERIES |= {"op8_quality_rules": op8_quality_rules}
+SQL["op8_quality_rules"] = r"""
+with recursive d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+g as (select r, p, array_to_string(w[p:p + 4], ' ') as k from (select r, w, unnest(range(1, len(w) - 3)) as p from w where len(w) >= 5)),
+rep as (select r, count(distinct x) as n from (select r, unnest(range(p, p + 5)) as x from (select r, p, count(*) over (partition by r, k) as n from g) where n > 1) group by r),
+c as (select r, doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, len(l) as n_lines,
+ len(regexp_extract_all(t, '\p{Lu}')) as n_upper, len(regexp_extract_all(t, '[.?!]')) as n_sentence_ends, len(regexp_extract_all(t, '!')) as n_exclaims from w left join rep using (r)),
+v as (select *, [case when n_words < 40 then -1 when n_words >= 50 then 1 else 0 end,
+ case when 10 * n_repeat_words > n_words then -1 when 20 * n_repeat_words <= n_words and n_words >= 20 then 1 else 0 end,
+ case when 20 * n_symbols > n_words then -1 when 100 * n_symbols <= n_words and n_words >= 20 then 1 else 0 end,
+ case when word_chars < 3 * n_words or word_chars > 10 * n_words then -1 when word_chars between 4 * n_words and 8 * n_words and n_words >= 20 then 1 else 0 end,
+ case when 5 * n_dup_lines > n_lines then -1 when n_dup_lines = 0 and n_lines >= 2 then 1 else 0 end,
+ case when 5 * n_upper > word_chars then -1 when 20 * n_upper <= word_chars and n_words >= 20 then 1 else 0 end,
+ case when n_words >= 30 and 60 * n_sentence_ends < n_words or n_words >= 20 and 4 * n_sentence_ends > n_words then -1 when 40 * n_sentence_ends >= n_words and 5 * n_sentence_ends <= n_words and n_words >= 20 then 1 else 0 end,
+ case when 2 * n_exclaims > n_sentence_ends then -1 when 10 * n_exclaims <= n_sentence_ends and n_words >= 20 then 1 else 0 end] as v from c),
+ps as (select v, count(*) as n from v group by v),
+cells as (select ps.v as pattern, n, j, ps.v[j] as vote from ps, (select unnest(range(1, 9)) as j)),
+m as (
+ select 0 as step, k, case when k = 0 then 0.85::double else 0.15::double / 8 end as share, [case when k = 0 then 0.02::double when j = k then 0.8::double else 0.1::double end for j in range(1, 9)] as bad from (select unnest(range(0, 9)) as k)
+ union all
+ select any_value(step) + 1, k, any_value(share), list((hit + case when k = 0 then 0.02 * heavy else 1 end) / (voted + case when k = 0 then heavy else 2 end) order by j) from (
+  select step, k, j, any_value(share) as share, sum(q * n) filter (vote = -1) as hit0, coalesce(sum(q * n) filter (vote = -1), 0) as hit, coalesce(sum(q * n) filter (vote <> 0), 0) as voted, 100 + 0.5 * any_value(total) as heavy from (
+   select e.*, cells.j, cells.vote, (sum(case when cells.j = 1 then e.q * e.n else 0 end) over (partition by e.k) + 1) / (e.total + 9) as share from (
+    select step, pattern, n, k, p / sum(p) over (partition by pattern) as q, (select count(*) from v) as total from (
+     select any_value(step) as step, pattern, any_value(n) as n, k, exp(ln(any_value(share)) + sum(case vote when -1 then ln(bad[j]) when 1 then ln(1 - bad[j]) else 0 end)) as p from m, cells where step < 60 group by pattern, k)) e join cells on cells.pattern = e.pattern) group by step, k, j) group by k),
+l as (select * from m where step = 60),
+post as (select v, sum(p) filter (k = 0) / sum(p) as good from (select v, k, exp(ln(share) + list_sum([case v[j] when -1 then ln(bad[j]) when 1 then ln(1 - bad[j]) else 0 end for j in range(1, 9)])) as p from ps, l) group by v)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+ n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and good >= 0.5 as kept from v join post using (v)
+"""
 
 
 def op4_language_id(spark, sf_dir):
