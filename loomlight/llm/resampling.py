@@ -2,14 +2,18 @@
 
 Two generative models over hashed word unigrams and bigrams are counted: the raw
 one over all documents, the target one over a bounded sample of documents
-labelled good. A document's log importance weight is its mean log ratio of
-target to raw, times `scale`; a Gumbel draw fixed by the document's id is added,
-and the k largest sums are kept, which samples k documents without replacement
-in proportion to their weights. The k-th sum is found by counting in ranges.
+labelled good. A document's log importance weight is the log ratio of its
+chances under target and raw, summed over its features; a Gumbel draw fixed by
+the document's id is added, and the k largest sums are kept, which samples k
+documents without replacement in proportion to their weights. Long documents
+have larger weights of either sign, as that ratio has; `per_feature` takes the
+mean ratio times that number instead. The k-th sum is found by counting in ranges.
 
 Defined results: null and wordless texts have weight 0 and take part in the
-draw; equal sums go by doc_id, smallest first; without labels all weights are 0;
-an empty table gives no rows; other columns are ignored.
+draw; equal sums go by doc_id, smallest first (null before all), and rows of
+equal id and sum by their place in the input, so that exactly k rows are kept;
+without labels all weights are 0; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -62,28 +66,25 @@ def model(docs: DataFrame, good: set[int]) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def kth(rows: DataFrame, k: int, column: str = "gumbel_key", most: int = 10_000) -> tuple[float, int]:
-    """(value, doc_id) of the k-th row by value descending, then doc_id; counts ranges until few rows are left."""
+def kth(rows: DataFrame, k: int, column: str, most: int = 10_000) -> tuple[object, int]:
+    """The k-th smallest value of a column and how many rows of that value it takes; counts ranges until few rows are left."""
     r = rows.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
-    lo, hi, above = r["a"], r["b"], 0
-    inside = rows
-    while True:
-        inside = rows.where((F.col(column) >= lo) & (F.col(column) <= hi))
-        n = inside.count()
-        if n <= most or lo == hi:
-            break
-        width = (hi - lo) / 1024
-        at = F.least(F.lit(1023), F.floor((F.lit(hi) - F.col(column)) / F.lit(width)).cast("int"))
+    lo, hi = r["a"], r["b"]
+    while lo != hi:
+        inside = rows.where((F.col(column) >= F.lit(lo)) & (F.col(column) <= F.lit(hi)))
+        if inside.count() <= most:
+            values = sorted(r[0] for r in inside.select(column).collect())
+            return values[k - 1], k - values.index(values[k - 1])
+        at = F.least(F.lit(1023), F.floor((F.col(column) / 1024 - F.lit(lo) / 1024) / F.lit(hi / 1024 - lo / 1024) * 1024).cast("int"))
         for b in inside.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).orderBy("b").collect():
-            if above + b["n"] >= k:
+            if b["n"] >= k:
                 lo, hi = b["lo"], b["hi"]
                 break
-            above += b["n"]
-    last = inside.orderBy(F.desc(column), "doc_id").limit(k - above).agg(F.min(F.struct(F.col(column), -F.col("doc_id"))).alias("m")).first()["m"]
-    return last[0], -last[1]
+            k -= b["n"]
+    return lo, k
 
 
-def resample(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fraction: float = 0.85, most: int = 3000, scale: float = 100.0, seed: int = 7) -> DataFrame:
+def resample(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fraction: float = 0.85, most: int = 3000, per_feature: float | None = None, seed: int = 7) -> DataFrame:
     """Per document: features, log weight, Gumbel sum, and whether the draw keeps it."""
     spark = documents.sparkSession
     ship(spark)
@@ -97,13 +98,23 @@ def resample(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
                 row, bucket = features(t)
                 n = np.bincount(row, minlength=len(t))
                 total = np.bincount(row, weights=ratio.value[bucket], minlength=len(t))
-                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), pa.array(n.astype(np.int64)), pa.array(scale * total / np.maximum(n, 1))], names=["doc_id", "n_features", "log_weight"])
+                if per_feature is not None:
+                    total = per_feature * total / np.maximum(n, 1)
+                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), pa.array(n.astype(np.int64)), pa.array(total)], names=["doc_id", "n_features", "log_weight"])
 
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    got = written(docs.mapInArrow(weigh, "doc_id long, n_features long, log_weight double").withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
-    n = got.count()
-    k = int(n * fraction)
-    if not k:
-        return got.withColumn("kept", F.lit(False))
-    value, last = kth(got.where("doc_id is not null"), min(k, got.where("doc_id is not null").count()))
-    return got.withColumn("kept", F.coalesce((F.col("gumbel_key") > value) | ((F.col("gumbel_key") == value) & (F.col("doc_id") <= last)), F.lit(False)))
+    got = docs.mapInArrow(weigh, "doc_id long, n_features long, log_weight double").withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    got = written(got.withColumn("row", F.monotonically_increasing_id()), "weights")
+    order = got.select((-F.col("gumbel_key")).alias("x"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "row")
+    left = int(got.count() * fraction)
+    if not left:
+        return got.drop("row").withColumn("kept", F.lit(False))
+    bounds = []
+    for c in ("x", "id", "row"):
+        value, left = kth(order, left, c)
+        bounds.append(value)
+        order = order.where(F.col(c) == F.lit(value))
+    x, i, r = bounds
+    mine = -F.col("gumbel_key"), F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("row")
+    kept = (mine[0] < x) | ((mine[0] == x) & ((mine[1] < i) | ((mine[1] == i) & (mine[2] <= r))))
+    return got.withColumn("kept", kept).drop("row")
