@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytebatch as bb
 from .cluster import CARRIED, carried, schema_of, ship, text_id
-from .sample import per_label
+from .sample import MOST_BYTES, per_label, within_bytes
 
 ORDER = 3
 CLASSES = 36
@@ -127,23 +127,24 @@ def scores(model, t: bb.Texts) -> tuple[list[str], np.ndarray]:
     return names, score
 
 
-def labelled(documents: DataFrame, most: int, doc_id: str, text: str, lang: str, learn) -> list[tuple[str, str]]:
+def labelled(documents: DataFrame, most: int, most_bytes: int, doc_id: str, text: str, lang: str, learn) -> list[tuple[str, str]]:
     """(lang, text) of the bounded sample, whole texts."""
     d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     d = d.where(learn).where("lang is not null and text is not null")
     chosen = per_label(d.select("doc_id", "lang"), "lang", most).select("doc_id").distinct()
     ids = [r[0] for r in chosen.collect()]
-    return sorted((r["lang"], r["text"]) for r in d.where(F.col("doc_id").isin(ids)).collect()) if ids else []
+    chosen = within_bytes(d.where(F.col("doc_id").isin(ids)).select("lang", "text"), "lang", "text", most_bytes)
+    return sorted((r["lang"], r["text"]) for r in chosen.collect()) if ids else []
 
 
-def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 150, fold: int = 5, carry: bool = False) -> DataFrame:
+def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 150, most_bytes: int = MOST_BYTES, fold: int = 5, carry: bool = False) -> DataFrame:
     """Predicted language of every document; documents of fold 0 by crc32 of the id are never learned from.
 
     carry: the input row comes along as the struct `input_row`."""
     spark = documents.sparkSession
     ship(spark)
     held_out = F.pmod(text_id(doc_id), F.lit(fold)) == 0
-    model = spark.sparkContext.broadcast(train(labelled(documents, most, doc_id, text, lang, ~held_out)))
+    model = spark.sparkContext.broadcast(train(labelled(documents, most, most_bytes, doc_id, text, lang, ~held_out)))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"), *carried(carry))
 
     def run(batches):

@@ -2,16 +2,17 @@
 
 Voters are lexicon entries (whole words) and patterns (word beginnings of 4 to
 6 bytes) whose presence goes with the toxic label beyond chance in a bounded
-labelled sample, and two patterns over them (several entries; none at all).
-Voters that fire on the same documents are estimated to be correlated and share
-one vote. A generative model - a latent label, and per voter the chance to fire
-under each label - is fitted by expectation-maximisation from the labelled rows'
-frequencies; its posteriors are the soft labels on which a linear classifier
-over all the entries is trained. Every text is scored whole.
-
-Learned from at most `most` rows of each label, never from rows of the held-out
-fold; the classifier has at most MOST_FEATURES weights, which bounds what is
-broadcast.
+labelled sample, two patterns over them (several entries; none at all), and the
+label itself, which may be wrong like any voter. A generative model - a latent
+class, and per voter the chance to fire under each - is fitted by
+expectation-maximisation; what voters have in common beyond the class is estimated
+as the correlation of their residuals, and a voter counts as one over the sum of
+its correlations. The posteriors are the soft labels on which a linear
+classifier over all entries is trained. Every text is scored whole.
+
+Learned from at most `most` rows and `most_bytes` of text for each label, never
+from rows of the held-out fold; the classifier has at most MOST_FEATURES weights,
+which bounds what is broadcast, and the label model at most MOST_VOTERS voters.
 
 Defined results: null and empty texts get the score of a text without any
 entry; rows of labels with null label or id are ignored, a document with
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 from . import bytebatch as bb
 from .cluster import ship, text_id
-from .sample import per_label
+from .sample import MOST_BYTES, per_label, within_bytes
 
 PREFIXES = (4, 5, 6)
 MOST_FEATURES = 4000
+MOST_VOTERS = 500
 EVIDENCE = 14.0  # log-likelihood ratio that an entry needs
 LIFT = 6.0  # times that it must be more frequent in toxic documents
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -95,39 +97,36 @@ def select(df_pos: np.ndarray, df_neg: np.ndarray, n_pos: int, n_neg: int) -> np
     return np.where(df_pos / n_pos > LIFT * (df_neg + 0.5) / n_neg, g, -g)
 
 
-def correlated(x: np.ndarray, same: float = 0.8) -> np.ndarray:
-    """Group number of each voter (column); voters whose firings overlap by `same` or more share one."""
-    both = x.T.astype(np.float32) @ x.astype(np.float32)
-    alone = np.diag(both)
-    overlap = both / np.maximum(alone[:, None] + alone[None, :] - both, 1)
-    group = np.arange(x.shape[1])
-    for i in range(x.shape[1]):
-        for j in np.flatnonzero(overlap[i] >= same):
-            group[group == group[j]] = group[i]
-    return np.unique(group, return_inverse=True)[1]
-
-
-def posteriors(votes: np.ndarray, gold: np.ndarray, prior: float, rounds: int = 10) -> np.ndarray:
-    """Chance of the toxic label per row, by expectation-maximisation from the labelled frequencies."""
-    post = gold.astype(np.float64)
+def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, related: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the toxic class per row, each voter's chance to fire in that class and in the other, and
+    its weight. The label is the last voter; it starts the estimate and has no other part in it."""
+    v = np.column_stack([votes, gold]).astype(np.float64)
+    q = 0.02 + 0.96 * gold
+    weight = np.ones(v.shape[1])
+    share = q.mean()
     for _ in range(rounds):
-        a = (votes.T @ post + 0.1) / (post.sum() + 1.0)
-        b = (votes.T @ (1 - post) + 0.05) / ((1 - post).sum() + 1.0)
-        logit = np.log(prior / (1 - prior)) + votes @ (np.log(a) - np.log(b)) + (1 - votes) @ (np.log1p(-a) - np.log1p(-b))
-        post = 0.5 * gold + 0.5 / (1 + np.exp(-np.clip(logit, -50, 50)))  # the label itself is one more voter
-    return post
-
-
-def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient descent."""
-    w, b = np.zeros(x.shape[1]), 0.0
+        a = (v.T @ q + 0.1) / (q.sum() + 1.0)
+        b = (v.T @ (1 - q) + 0.05) / ((1 - q).sum() + 1.0)
+        r = v - (q[:, None] * a + (1 - q)[:, None] * b)
+        both = r.T @ r
+        size = np.sqrt(np.maximum(np.diag(both), 1e-9))
+        common = both / size / size[:, None]
+        weight = 1 / np.maximum(np.where(common > related, common, 0).sum(0), 1.0)
+        logit = np.log(share / (1 - share)) + v @ (weight * (np.log(a) - np.log(b))) + (1 - v) @ (weight * (np.log1p(-a) - np.log1p(-b)))
+        q = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        share = min(max(q.mean(), 0.01), 0.99)
+    return q, a, b, weight
+
+
+def fit_linear(row: np.ndarray, entry: np.ndarray, size: int, target: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by accelerated gradient descent; (row, entry) are the places of ones."""
+    w, b = np.zeros(size), 0.0
     v, c = w.copy(), b
-    x = x.astype(np.float64)
-    total = weight.sum()
-    step = 4.0 / max(1.0, float((x * x).sum(1).mean()) + 1.0)
+    total, n = weight.sum(), len(target)
+    step = 4.0 / (max(1.0, len(row) / n) + 1.0)
     for k in range(rounds):
-        g = weight * (1 / (1 + np.exp(-np.clip(x @ v + c, -50, 50))) - target) / total
-        nw, nb = v - step * (x.T @ g + ridge * v), c - step * g.sum()
+        g = weight * (1 / (1 + np.exp(-np.clip(np.bincount(row, weights=v[entry], minlength=n) + c, -50, 50))) - target) / total
+        nw, nb = v - step * (np.bincount(entry, weights=g[row], minlength=size) + ridge * v), c - step * g.sum()
         m = k / (k + 3)
         v, c = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
@@ -162,17 +161,17 @@ def train(rows: list[tuple[int, str]], prior: float) -> tuple[np.ndarray, np.nda
     index = np.full(len(keys), -1)
     index[lead] = np.arange(len(lead))
     keep = index[which] >= 0
-    x = np.zeros((len(rows), len(lead)), dtype=np.float32)
-    x[at[keep], index[which[keep]]] = 1
-    group = correlated(x)
-    votes = np.zeros((len(rows), group.max() + 3))
-    for g in range(group.max() + 1):
-        votes[:, g] = x[:, group == g].max(1)
-    fired = votes[:, :-2].sum(1)
+    row, entry = at[keep], index[which[keep]]
+    voters = np.argsort(-score[lead], kind="stable")[:MOST_VOTERS]
+    place = np.full(len(lead), -1)
+    place[voters] = np.arange(len(voters))
+    votes = np.zeros((len(rows), len(voters) + 2), dtype=np.float32)
+    named = place[entry] >= 0
+    votes[row[named], place[entry[named]]] = 1
+    fired = np.bincount(row, minlength=len(rows))
     votes[:, -2], votes[:, -1] = fired >= 2, fired == 0
     weight = np.where(gold == 1, prior / n_pos, (1 - prior) / n_neg) * len(rows)
-    soft = posteriors(votes, gold, prior)
-    w, b = fit_linear(x, soft, weight)
+    w, b = fit_linear(row, entry, len(lead), label_model(votes, gold)[0], weight)
     return keys[lead], w, b
 
 
@@ -183,7 +182,7 @@ def score_block(model, t: bb.Texts) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def score(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 2500, fold: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 2500, most_bytes: int = MOST_BYTES, fold: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """Toxicity of every document, 0 to 1."""
     spark = documents.sparkSession
     ship(spark)
@@ -192,7 +191,8 @@ def score(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = F.broadcast(per_label(known, "y", most).distinct())  # 2 * most rows
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = sorted((r["y"], r["text"] or "") for r in docs.join(chosen, "doc_id").select("y", "text").collect())
+    sampled = docs.join(chosen, "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))
+    rows = sorted((r["y"], r["text"]) for r in within_bytes(sampled, "y", "text", most_bytes).collect())
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     model = spark.sparkContext.broadcast(train(rows, prior))
     docs = docs.withColumn("held_out", F.coalesce(F.pmod(text_id("doc_id"), F.lit(fold)) == held, F.lit(False)))
