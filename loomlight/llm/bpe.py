@@ -30,9 +30,9 @@ def _byte_letters() -> dict[str, int]:
 
 
 def encoder(raw: bytes):
-    """A function text -> list of ids; strings of special tokens count as ordinary text.
+    """A function text -> list of ids, those of `tokenizers` with add_special_tokens=False.
 
-    Texts without two adjoining white-space characters are split by the pattern
+    Texts that hold the string of a special token go to that library. Texts without two adjoining white-space characters are split by the pattern
     without its look-ahead, which then can't match anything else."""
     spec = json.loads(raw)
     letters = _byte_letters()
@@ -47,7 +47,16 @@ def encoder(raw: bytes):
             ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
             whole = tiktoken.Encoding("whole", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
             plain = tiktoken.Encoding("plain", pat_str=SPLIT.replace(LOOKS_AHEAD, ""), mergeable_ranks=ranks, special_tokens={})
-            return lambda text: (whole if _DOUBLE.search(text) else plain).encode_ordinary(text)
+            slow = []
+
+            def encode(text: str) -> list[int]:
+                if any(t in text for t in special):
+                    if not slow:
+                        slow.append(with_offsets(raw))
+                    return slow[0].encode(text, add_special_tokens=False).ids
+                return (whole if _DOUBLE.search(text) else plain).encode_ordinary(text)
+
+            return encode
     tokenizer = with_offsets(raw)
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -56,6 +65,4 @@ def with_offsets(raw: bytes):
     """The tokenizer itself, which also gives character offsets."""
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_str(raw.decode())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_str(raw.decode())
