@@ -292,6 +292,28 @@ def test_packing_plan_holds_everything_tightly():
     assert sum(n for n, _ in runs) <= 1.02 * sum(x * n for x, n in histogram.items()) / 1024 + 1
 
 
+def test_packing_places_large_pieces_by_the_groups():
+    """The large pieces of every sequence are those of a configuration; only small ones are put in best-fit."""
+    lengths = np.random.default_rng(4).integers(1, 1025, 3000)
+    histogram = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+    kept = sorted(((x, n) for x, n in histogram.items() if 256 < x < 1024), reverse=True)
+    wanted = []
+    for groups in (64, 128, 256, 512, 1024, 2048, 4096):
+        large = packing._groups(kept, groups)
+        configurations = packing._configurations([g[0][0] for g in large], [sum(n for _, n in g) for g in large], 1024)
+        wanted.append(Counter())
+        for n, inside in packing._substitute(configurations, large):
+            wanted[-1][tuple(sorted(inside))] += n
+    got, placed = Counter(), Counter()
+    for n, inside in packing.plan(histogram, 1024):
+        assert sum(inside) <= 1024
+        if part := tuple(sorted(x for x in inside if 256 < x < 1024)):
+            got[part] += n
+        for x in inside:
+            placed[x] += n
+    assert got in wanted and placed == histogram
+
+
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "<|start|>user\n", "<\\|x <\\\\|", "[\\INST]", "", None, "é\n\n  <<SYS>>", "<|end|>"]
     assert all(chat.unescape(chat.escape(t or "")) == (t or "") for t in nasty)
@@ -306,18 +328,69 @@ def test_chat(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
-def test_quality(docs, empty):
-    got = by_id(quality.judge(docs))
-    for i, t in enumerate(TEXTS):
+def plain_model(votes, n, rounds=60):
+    """The label model by plain loops of EM."""
+    rules = votes.shape[1]
+    share = np.array([0.85] + [0.15 / rules] * rules)
+    bad = np.full((rules + 1, rules), 0.1)
+    bad[0] = 0.02
+    bad[np.arange(1, rules + 1), np.arange(rules)] = 0.8
+    heavy = 100 + 0.5 * n.sum()
+    for _ in range(rounds):
+        log = np.log(share) + np.stack([np.where(votes == -1, np.log(b), np.where(votes == 1, np.log1p(-b), 0)).sum(1) for b in bad], 1)
+        q = np.exp(log - log.max(1, keepdims=True))
+        q *= (n / q.sum(1))[:, None]
+        share = (q.sum(0) + 1) / (n.sum() + rules + 1)
+        for k in range(rules + 1):
+            for j in range(rules):
+                hit, voted = q[votes[:, j] == -1, k].sum(), q[votes[:, j] != 0, k].sum()
+                bad[k, j] = (hit + 0.02 * heavy) / (voted + heavy) if k == 0 else (hit + 1) / (voted + 2)
+    return share, bad
+
+
+def test_quality(spark, docs, empty):
+    more = [None, "word " * 12 + "\n" + "other words here.\n" * 3 + "#$ |<>", "A B C! D? " * 9, " ".join(f"w{k}" for k in range(30_000)) + "."]
+    rows = list(enumerate(TEXTS + more)) + [(4, BASE)]
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, n_words string, votes string")
+    got = [r.asDict() for r in quality.judge(frame).collect()]
+    assert len(got) == len(rows)
+    for i, t in dict(rows).items():
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         count = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         covered = {j for k in range(len(w) - 4) if count[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
-        r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
-        assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        for r in (r for r in got if r["doc_id"] == i):
+            assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+            assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
+            assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_model_is_em(spark):
+    """Estimates of plain EM; agreeing votes reject."""
+    rng = np.random.default_rng(6)
+    good = np.where(rng.random((3000, 4)) < [0.06, 0.004, 0.004, 0.004], -1, 1)
+    bad = np.where(rng.random((400, 4)) < [0.7, 0.8, 0.7, 0.02], -1, 1)
+    votes = np.concatenate([good, bad])
+    votes[rng.random(votes.shape) < 0.1] = 0
+    u, n = np.unique(votes, axis=0, return_counts=True)
+    patterns = spark.createDataFrame([(list(map(int, v)), int(k)) for v, k in zip(u, n)], "votes array<int>, n long")
+    share, chances = quality.label_model(patterns, 4)
+    want = plain_model(u, n)
+    assert np.allclose(share, want[0], rtol=1e-6) and np.allclose(chances, want[1], rtol=1e-6)
+    p = {tuple(r["votes"]): r["p"] for r in patterns.selectExpr("votes", quality.posterior(share, chances) + " as p").collect()}
+    assert p[(1, 1, 1, 1)] > 0.99 and p[(-1, -1, 1, 1)] < 0.05 and p[(-1, -1, -1, 1)] < 0.01
+
+
+def test_quality_is_no_filter(spark):
+    """Some documents that one rule votes against are kept, and none of those that three are against."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    votes = quality.counts(docs, "doc_id", "text").selectExpr("doc_id", "array(" + ", ".join(quality._vote(r) for r in quality.RULES) + ") as votes")
+    got = quality.judge(docs).join(votes.selectExpr("doc_id", "size(filter(votes, v -> v = -1)) as against"), "doc_id").groupBy("against", "kept").count().collect()
+    n = {(r["against"], r["kept"]): r["count"] for r in got}
+    assert n[(0, True)] > 700 and n[(1, True)] > 5 and n[(1, False)] > 5 and not any(k and a >= 3 for a, k in n)
+
+
 def test_language_id(spark, docs, empty):
     rows = [(i, words(60, "abcdef" if i % 2 else "uvwxyz"), "aa" if i % 2 else "uu") for i in range(60)] + [(90, None, "aa"), (91, "12 ..", "aa"), (92, "éé", None)]
     got = by_id(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
@@ -342,11 +415,50 @@ def test_toxicity(spark, docs, empty, labels):
     assert toxicity.score(empty, labels).count() == 0 and toxicity.score(docs, labels.limit(0)).count() == len(TEXTS)
 
 
-def test_resampling(docs, empty, labels):
-    got = resampling.resample(docs, labels, fraction=0.5).collect()
-    keys = sorted(((-r["gumbel_key"], r["doc_id"]) for r in got))
-    assert {r["doc_id"] for r in got if r["kept"]} == {i for _, i in keys[: len(TEXTS) // 2]}
-    assert resampling.resample(empty, labels).count() == 0
+def test_resampling(spark, docs, empty, labels):
+    """Weights and draw against plain counting over strings; k rows exactly, with nulls, repeats and ties."""
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(4, BASE)] * 9 + [(None, "a b c")] * 7 + [(50, " ".join(f"w{k % 999}" for k in range(40_000)))]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, kept int").repartition(3)
+    good = {r[0] for r in labels.collect() if r[1] == 1 and r[0] is not None}
+
+    def features(t):
+        w = [x.encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())]
+        return [(x,) for x in w] + list(zip(w, w[1:]))
+
+    slot = {}
+    for _, t in rows:
+        for f in features(t):
+            if f not in slot:
+                text = b" ".join(f)
+                r, b = resampling.features(bb.Texts(0, np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+                slot[f] = int(b[len(f) - 1 if len(f) == 1 else 2])
+    raw, target = np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
+    for i, t in rows:
+        for f in features(t):
+            raw[slot[f]] += 1
+            target[slot[f]] += i in good
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for fraction in (0.5, 0.2, 1.0):
+        got = [r.asDict() for r in resampling.resample(frame, labels, fraction=fraction).collect()]
+        k = int(len(rows) * fraction)
+        assert sum(r["kept"] for r in got) == k
+        text_of = dict(rows)
+        for r in got:
+            f = features(text_of[r["doc_id"]])
+            assert r["n_features"] == len(f) and abs(r["log_weight"] - sum(ratio[slot[x]] for x in f)) < 1e-6
+        order = sorted((-r["gumbel_key"], -1 if r["doc_id"] is None else r["doc_id"]) for r in got)
+        assert sorted((-r["gumbel_key"], -1 if r["doc_id"] is None else r["doc_id"]) for r in got if r["kept"]) == order[:k]
+    assert resampling.resample(empty, labels).count() == 0 == resampling.resample(empty, labels.limit(0)).count()
+    assert {r["log_weight"] for r in resampling.resample(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_kth_of_many(spark):
+    frame = spark.range(3000).selectExpr("cast(id % 700 as double) / 7 as x", "id")
+    values = sorted((k % 700) / 7 for k in range(3000))
+    for k in (1, 5, 1499, 3000):
+        v, left = resampling.kth(frame, k, "x", most=20)
+        assert v == values[k - 1] and left == k - values.index(v)
+    assert resampling.kth(spark.range(5000).selectExpr("id - 2500 as id"), 4000, "id", most=7) == (1499, 1)
 
 
 def test_html(spark):
