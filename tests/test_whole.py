@@ -1,11 +1,8 @@
 """Queries against brute force where the SQL definition does less than the whole job."""
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 
-from loomlight.llm import packing
 from loomlight.operators import vectors
 from loomlight.plans import registry
 
@@ -43,28 +40,6 @@ def test_cosine_ties_and_odd_vectors(spark):
     assert [tuple(r) for r in got] == [(0, i, 1.0, i) for i in range(1, 6)]
 
 
-def test_packing_places_large_pieces_by_the_groups():
-    """The large pieces of every sequence are those of a configuration; only small ones are put in best-fit."""
-    lengths = np.random.default_rng(4).integers(1, 1025, 3000)
-    histogram = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
-    kept = sorted(((x, n) for x, n in histogram.items() if 256 < x < 1024), reverse=True)
-    wanted = []
-    for groups in (64, 128, 256, 512, 1024, 2048, 4096):
-        large = packing._groups(kept, groups)
-        configurations = packing._configurations([g[0][0] for g in large], [sum(n for _, n in g) for g in large], 1024)
-        wanted.append(Counter())
-        for n, inside in packing._substitute(configurations, large):
-            wanted[-1][tuple(sorted(inside))] += n
-    got, placed = Counter(), Counter()
-    for n, inside in packing.plan(histogram, 1024):
-        assert sum(inside) <= 1024
-        if part := tuple(sorted(x for x in inside if 256 < x < 1024)):
-            got[part] += n
-        for x in inside:
-            placed[x] += n
-    assert got in wanted and placed == histogram
-
-
 def test_recap_holds_briefing_and_errors(spark):
     """Timeline and chunks against the steps of the reference over its parts."""
     rows = lambda name, by: {d: sorted(g, key=lambda r: r[by]) for d, g in grouped_rows(registry.queries()[name](spark, DATA)).items()}
