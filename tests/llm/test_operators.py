@@ -400,10 +400,58 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty).count() == 0 and langid.identify(docs, carry=True).count() == len(TEXTS)
 
 
-def test_code_lengths_are_proper():
-    _, table, bits = langid.train([("aa", words(300)), ("bb", words(300, "xyz"))])
-    totals = (2.0 ** -bits.astype(np.float64)).reshape(-1, langid.CLASSES, 2).sum(1)
-    assert np.allclose(totals, 1, atol=1e-3)
+def plain_ppm(texts, symbols):
+    """A function (context, symbol) -> bits, by walking the tree of one language symbol by symbol."""
+    tree = {}
+    for t in texts:
+        padded = [0] * langid.ORDER + t
+        for i, x in enumerate(t):
+            for o in range(langid.ORDER + 1):
+                node = tree.setdefault(tuple(padded[i + langid.ORDER - o : i + langid.ORDER]), Counter())
+                node[x] += 1
+
+    def chance(o, context):
+        if o < 0:
+            return np.full(symbols, 1 / symbols)
+        node = tree.get(tuple(context[langid.ORDER - o :]))
+        shorter = chance(o - 1, context)
+        if not node:
+            return shorter
+        total, kinds = sum(node.values()), len(node)
+        left = 1 - sum(shorter[k] for k in node)
+        if left <= 1e-9:
+            return np.array([node.get(k, 0) / total for k in range(symbols)])
+        return np.array([node[k] / (total + kinds) if k in node else kinds / (total + kinds) * shorter[k] / left for k in range(symbols)])
+
+    return lambda context, x: -np.log2(chance(langid.ORDER, context)[x])
+
+
+def test_code_lengths_are_those_of_the_tree():
+    """Proper chances, and sums of code lengths as a walk through each language's tree gives them; any script."""
+    rows = [("aa", words(200)), ("bb", words(150, "xyzа")), ("bb", "Ωδ x"), ("cc", words(80, "кирлц"))]
+    model = langid.train(rows)
+    langs, table, nodes, bits = model
+    size = int(table.max()) + 1
+    assert np.allclose((2.0 ** -bits.astype(np.float64)).reshape(-1, size, len(langs)).sum(1), 1, atol=1e-4)
+    node = langid.node_of(nodes, size)
+    for text in (words(20), words(9, "xyz") + " Ωа!", "кцл 漢字 q", "A"):
+        t = next(bb.blocks(pa.array([text])))
+        codes = table[t.data].tolist()
+        padded = [0] * langid.ORDER + codes
+        got = bits[node[langid.contexts(np.array(codes), np.array([0]), langid.ORDER, size)] * size + np.array(codes)].sum(0)
+        for k, lang in enumerate(langs):
+            cost = plain_ppm([table[np.frombuffer(x.encode(), np.uint8)].tolist() for n, x in rows if n == lang], size)
+            want = sum(cost(padded[i : i + langid.ORDER], x) for i, x in enumerate(codes))
+            assert abs(got[k] - want) < 1e-3 * want + 0.01
+
+
+def test_language_id_learns_from_no_held_out_row(spark):
+    """Wrong labels of held-out rows, and a table bound that leaves few nodes, change nothing that matters."""
+    rows = [(i, words(60, "abcdef" if i % 2 else "uvwxyz"), "aa" if i % 2 else "uu") for i in range(80)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    wrong = [(i, t, ("zz" if held(i) else lang)) for i, t, lang in rows]
+    a, b = ([tuple(r) for r in langid.identify(spark.createDataFrame(x, "doc_id long, text string, lang string")).orderBy("doc_id").collect()] for x in (rows, wrong))
+    assert a == b and {r[2] for r in a} == {"aa", "uu"}
 
 
 def test_toxicity(spark, docs, empty, labels):
