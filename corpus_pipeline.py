@@ -22,9 +22,10 @@ def language(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The document of smallest id of each near-duplicate group."""
-    gone = written(group(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    """The row of smallest id of each near-duplicate group."""
+    gone = written(group(docs, stable=True, rows=True).where("not stays").select("row"), "dropped")
+    numbered = docs.select(F.struct("*").alias(CARRIED), F.monotonically_increasing_id().alias("row"))
+    return numbered.join(few(gone), "row", "left_anti").select(f"{CARRIED}.*")
 
 
 def suffix_dedup(spark, docs, sf_dir):

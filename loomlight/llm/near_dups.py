@@ -19,9 +19,10 @@ classes comes to the driver; shingles beyond those count as rare, which costs
 time but no link. Ids are broadcast only
 if there are at most BROADCAST_IDS of them, else the join shuffles.
 
-Defined results: null and wordless texts have an empty set and are alone; a
-repeated doc_id counts as one document; rows of null doc_id are alone, with null
-component and kept true; empty tables give no rows; other columns are ignored.
+Defined results: null and wordless texts have an empty set and are alone; rows
+of one doc_id with different texts are documents of their own that share the id;
+equal rows are copies; rows of null doc_id are alone, with null component and kept
+true; empty tables give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def packed(m: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    names = ["doc_id", "n_shingles", "h1", "h2", "bands", "bits"]
+    names = ["row", "doc_id", "n_shingles", "h1", "h2", "bands", "bits"]
 
     def run(batches):
         for batch in batches:
@@ -104,9 +105,10 @@ def sketches(documents: DataFrame) -> DataFrame:
                     else:
                         h1.append(0), h2.append(0), bands.append(None), bits.append(None)
                 longs = pa.list_(pa.int64())
-                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)], names=names)
+                own = [batch.column(c).slice(t.first, len(t)) for c in names[:2]]
+                yield pa.record_batch([*own, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, longs), pa.array(bits, longs)], names=names)
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bits array<long>")
+    return documents.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -116,9 +118,9 @@ def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for t in bb.blocks(batch.column("text")):
                 sets = pa.array([s.view(np.int64) for s in shingle_sets(t)], pa.list_(pa.int64()))
-                yield pa.record_batch([batch.column("doc_id").slice(t.first, len(t)), sets], names=["id", "shingles"])
+                yield pa.record_batch([batch.column("row").slice(t.first, len(t)), sets], names=["id", "shingles"])
 
-    texts = documents.join(few(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = documents.select("row", "text").join(few(ids.select(F.col("id").alias("row"))), "row", "left_semi").select("row", "text")
     return texts.mapInArrow(run, "id long, shingles array<long>").join(ids, "id")
 
 
@@ -176,9 +178,9 @@ def few(rows: DataFrame) -> DataFrame:
 
 def confirm(documents: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similarity * union, on the full sets."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = documents.join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sides = [texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ids")
+    texts = documents.select("row", "text").join(few(ids), "row", "left_semi")
+    sides = [texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
 
     def run(batches):
         last, its = None, None
@@ -203,30 +205,37 @@ def confirm(documents: DataFrame, pairs: DataFrame, similarity: int) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): smallest id reachable, by alternating large and small stars."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, "links")
-        after = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if before == after:
-            break
-        before = after
-    return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75) -> DataFrame:
-    """Per document: set size, component (smallest doc_id reachable), and whether it is the one to keep."""
+def _stars(links: DataFrame) -> bool:
+    """Whether every u has one v, and that is no u itself."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
+
+
+def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 75, stable: bool = False, rows: bool = False) -> DataFrame:
+    """Per document: set size, component (smallest doc_id reachable), and whether it is the one to keep.
+
+    stable: `documents` is a table that gives the same rows in the same partitions when read again; others are
+    written first. rows: also `row`, the monotonically increasing id of the row, and `stays`: one row of each component."""
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if not stable:
+        documents = written(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "input")
+        doc_id, text = "doc_id", "text"
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     sk = written(sketches(docs), "sketches")
-    classes = written(sk.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sk.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "bits")
+    classes = written(sk.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("row").alias("rep"), F.min(F.struct("doc_id", "row")).alias("least")), "classes")
+    reps = sk.join(classes.select(F.col("rep").alias("row"), "h1", "h2"), ["row", "h1", "h2"], "left_semi").select(F.col("row").alias("id"), "n_shingles", "bands", "bits")
     bits = reps.select("id", "n_shingles", "bits")
     buckets = reps.select("id", F.explode("bands").alias("key")).where("key is not null")
     shared = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
@@ -259,6 +268,13 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
         links = links.unionByName(confirm(known, more, similarity))
         found = written(components(links), "components")
 
-    out = sk.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    heads = found.select(F.col("component").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    low = classes.select(F.col("rep").alias("id"), "least").join(found.unionByName(heads), "id").groupBy("component").agg(F.min("least").alias("joined"))
+    low = found.unionByName(heads).join(low, "component").select(F.col("id").alias("rep"), "joined")
+    named = classes.join(low, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("joined", "least").alias("first"))
+    out = sk.select("row", "doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
+    first = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", F.struct("doc_id", "row")))
+    out = out.select("row", "doc_id", "n_shingles", first.alias("first"))
+    out = out.select("row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("stays"))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *["row", "stays"] * rows)

@@ -139,7 +139,7 @@ from f
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
-    return group(table(spark, sf_dir, "documents"))
+    return group(table(spark, sf_dir, "documents"), stable=True)
 
 
 QUERIES |= {"op2_minhash_near_dedup": op2_minhash_near_dedup}

@@ -103,6 +103,18 @@ def test_near_dups(docs, empty):
     assert near_dups.group(empty).count() == 0
 
 
+def test_near_dups_of_repeated_ids(spark):
+    """Rows of one id with other texts are other documents; one row of each group stays."""
+    more = BASE + " two words"
+    rows = [(1, words(50)), (1, BASE), (2, more), (2, more), (3, more), (None, BASE), (None, BASE), (4, None), (4, "")]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row int, kept string").repartition(2)
+    got = near_dups.group(frame, rows=True).collect()
+    linked = [r for r in got if r["n_shingles"] > 300 and r["doc_id"] is not None]
+    assert len(got) == len(rows) and len(linked) == 4 and {r["component_id"] for r in linked} == {1} and sum(r["stays"] for r in linked) == 1
+    assert all(r["kept"] == (r["doc_id"] == 1) and (r["kept"] or not r["stays"]) for r in linked)
+    assert all(r["stays"] and r["kept"] for r in got if r["doc_id"] in (None, 4))
+
+
 def test_near_dups_in_crowded_buckets(spark, monkeypatch):
     """Variants of one text, of every distance to it, and texts that share a passage: as brute force, by either way."""
     rnd = random.Random(5)
