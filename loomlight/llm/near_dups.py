@@ -7,7 +7,9 @@ bucket key. Every class is paired with the smallest id of each of its buckets;
 pairs whose collision-corrected similarity, by bit counts over the packed
 signatures, is far too low (over MARGIN standard errors) are left out, the others
 are confirmed on the full sets, and confirmed links are closed to components.
-Then classes that share a bucket but not a component are paired as well, so no
+Where buckets still hold many pairs of several components, up to STARS more such
+rounds follow, each around another class of the bucket's largest component. Then
+all classes that share a bucket but not a component are paired as well, so no
 pair of a bucket goes unlooked at. In crowded buckets the pairs come from exact
 prefix filtering of the full sets, rarest shingle first: two sets that are similar
 enough share one of their first few, which a passage that many texts hold never is
@@ -41,6 +43,7 @@ HASHES = ROWS * BANDS
 BITS = 2
 CROWDED = 64
 MARGIN = 5
+STARS, WORTH = 2, 3
 RANKED = 1 << 17
 BROADCAST_IDS = 500_000
 _MULT = bb.mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -254,9 +257,27 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     links = written(confirm(known, written(likely(stars), "pairs"), similarity), "confirmed")
     found = written(components(links), "components")
 
-    label = hits.join(found, "id", "left").select("key", "id", "first", "n", F.coalesce("component", "id").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    rest = written(label.join(mixed, "key", "left_semi"), "rest")
+    def unlinked() -> DataFrame:
+        """The rows of buckets that hold classes of several components."""
+        label = hits.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        mixed = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+        return written(label.join(mixed, "key", "left_semi"), "rest")
+
+    rest = unlinked()
+    for r in range(STARS):
+        each = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("id", F.lit(r))).alias("who"))
+        centres = each.groupBy("key").agg(F.max(F.struct("m", "who", "c")).alias("most"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        cost = centres.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        if (cost[0] or 0) <= WORTH * (cost[1] or 0):
+            break
+        spokes = rest.select("key", "id", "c").join(centres.select("key", F.col("most.who").alias("who"), F.col("most.c").alias("other")), "key").where("c <> other")
+        spokes = written(likely(spokes.select(F.least("id", "who").alias("a"), F.greatest("id", "who").alias("b")).distinct()), "pairs")
+        new = written(confirm(known, spokes, similarity), "confirmed")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        found = written(components(links), "components")
+        rest = unlinked()
     x, y = (rest.where(f"n <= {CROWDED}").select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
     more = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b")
     crowded = rest.where(f"n > {CROWDED}").select("id", "c").distinct()
