@@ -7,8 +7,9 @@ words and a few shape figures, and labels every leaf with the whole page in
 view. It is trained here on made-up pages of many layouts; the weights' size is
 fixed. Texts of the leaves labelled main are joined in page order.
 
-Defined results: null and empty html give empty text; unclosed tags, comments
-and raw elements run to the page's end; repeated rows give one row each; an empty
+Defined results: null and empty html give empty text; unclosed comments and raw
+elements run to the page's end; a tag that is never closed is text, and quotes
+that are never closed are no quotes; repeated rows give one row each; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -18,6 +19,7 @@ import html
 import random
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,11 @@ from .cluster import ship
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 96, 24, 6, 24
-_MARKUP = re.compile(r"""<!--|<([/]?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
+_START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+#: A tag; quotes count only right after an equals sign. No part is tried twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>""")
+#: The same for the rest of a page in which a tag's quotes never end.
+_SIMPLE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "math"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -73,19 +79,33 @@ def leaves(page: str) -> list[Leaf]:
             if links:
                 linked += len(text.strip())
 
+    pattern = _TAG
     while at < len(page):
-        m = _MARKUP.search(page, at)
-        if not m:
+        found = _START.search(page, at)
+        if not found:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
+        say(page[at : found.start()])
+        at = found.start()
+        if found[0] == "<!--":
+            end = page.find("-->", at + 4)
             at = len(page) if end < 0 else end + 3
             continue
-        if not m[2]:
+        if found[0] in ("<!", "<?"):
+            end = page.find(">", at)
+            if end < 0:
+                say(page[at:])
+                break
+            at = end + 1
             continue
+        m = pattern.match(page, at)
+        if not m and pattern is _TAG:
+            pattern = _SIMPLE_TAG
+            m = pattern.match(page, at)
+        if not m:  # no tag ends after this place
+            say(page[at:])
+            break
+        at = m.end()
         tag = m[2].lower()
         if tag == "a":
             links = max(0, links + (-1 if m[1] else 1))
@@ -120,6 +140,7 @@ def leaves(page: str) -> list[Leaf]:
     return out
 
 
+@lru_cache(1 << 16)
 def _slot(text: str, dim: int) -> tuple[int, float]:
     h = zlib.crc32(text.encode())
     return h % dim, 1.0 if h & 0x40000000 else -1.0
@@ -134,9 +155,10 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
                 i, sign = _slot(n, PATH_DIM // 2)
                 out[k, i + (PATH_DIM // 2 if depth else 0)] += sign
         words = leaf.text.lower().split()
-        for w in words[:64]:  # a feature of the block's opening; the text itself is kept whole
+        for w in words:
             i, sign = _slot(w, WORD_DIM)
-            out[k, PATH_DIM + i] += sign / min(len(words), 64)
+            out[k, PATH_DIM + i] += sign
+        out[k, PATH_DIM : PATH_DIM + WORD_DIM] /= max(len(words), 1)
         n = len(leaf.text)
         ends = sum(map(leaf.text.count, ".!?,"))
         out[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 5, min(leaf.linked / n, 1.0), min(10 * ends / n, 2.0), len(leaf.path) / 8, k / len(blocks), 1.0)
