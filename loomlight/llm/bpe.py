@@ -61,6 +61,13 @@ def encoder(raw: bytes):
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def splits_turns(raw: bytes) -> bool:
+    """Whether no piece goes on from a line break to a sign, so that texts can be encoded apart there."""
+    spec = json.loads(raw)
+    pre = spec.get("pre_tokenizer") or {}
+    return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+
+
 def with_offsets(raw: bytes):
     """The tokenizer itself, which also gives character offsets."""
     from tokenizers import Tokenizer

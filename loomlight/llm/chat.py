@@ -6,8 +6,11 @@ back takes off again. Whole conversations are rendered and encoded once, with
 offsets; a token is under the loss mask if its span meets the text span of a
 turn of `loss_role`, found by binary search in the sorted turn spans.
 
-A conversation streams through its task in turn order; nothing gathers it. One
-longer than `block_chars` is encoded in blocks that end between turns.
+A conversation streams through its task in turn order; nothing gathers it. A turn
+ends in a line break and the next starts with a sign, where the split pattern of
+byte-level BPE always ends a piece; so for such files the turns are encoded in
+blocks of about `block_chars`, which gives the ids and offsets of one encoding of
+the whole. With any other file a conversation is encoded at once, whatever its length.
 
 Defined results: turns order by (turn, role, text) with nulls first; null role
 and text are empty; rows without conv_id form the conversation of null; empty
@@ -100,7 +103,7 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray, spans: li
 
 
 class _Conversation:
-    def __init__(self, conv_id, tokenizer, loss_role: str, block_chars: int):
+    def __init__(self, conv_id, tokenizer, loss_role: str, block_chars: float):
         self.id, self.tokenizer, self.role, self.most = conv_id, tokenizer, loss_role, block_chars
         self.turns, self.chars = [], 0
         self.n = self.loss_chars = self.formatted = self.tokens = self.loss_tokens = 0
@@ -151,6 +154,7 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
 
     def run(batches):
         tok = bpe.with_offsets(raw.value)
+        most = block_chars if bpe.splits_turns(raw.value) else float("inf")
         now, out = None, []
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [pa.string() if c.endswith("string") else pa.int64() for c in SCHEMA.split(", ")]
@@ -160,7 +164,7 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
                 if now is None or now.id != c:
                     if now is not None:
                         out.append(now.row())
-                    now = _Conversation(c, tok, loss_role, block_chars)
+                    now = _Conversation(c, tok, loss_role, most)
                 now.add(r, t)
             if out:
                 yield batch_of(out)

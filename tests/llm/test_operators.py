@@ -331,8 +331,10 @@ def test_chat(spark):
     assert all(chat.unescape(chat.escape(t or "")) == (t or "") for t in nasty)
     rows = [(1, i, "assistant" if i % 2 else "user", t, 0) for i, t in enumerate(nasty)] + [(2, 0, None, "hi", 0), (None, 0, "assistant", "x", 0)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns long")
+    whole = by_id(chat.format_chats(table, block_chars=1 << 40), "conv_id")
     for block in (1 << 20, 5):
         got = by_id(chat.format_chats(table, block_chars=block), "conv_id")
+        assert got == whole
         said = [r[3] or "" for r in rows if r[0] == 1 and r[2] == "assistant"]
         assert got[1]["loss_sha256"] == hashlib.sha256("".join(said).encode()).hexdigest() and got[1]["loss_chars"] == sum(map(len, said))
         assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in rows if r[0] == 1).encode()).hexdigest()
@@ -530,6 +532,68 @@ def test_html(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def plain_text(page):
+    """All text of a page outside raw elements and the head, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.raw = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in html_text.RAW | {"head"}
+            self.out.append(" " if tag not in html_text.INLINE else "")
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in html_text.RAW | {"head"}
+            self.out.append(" " if tag not in html_text.INLINE else "")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.out.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    return " ".join("".join(r.out).split())
+
+
+def test_html_leaves_lose_no_text(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert " ".join(b.text for b in html_text.leaves(row["html"])) == plain_text(row["html"])
+    texts = lambda page: [b.text for b in html_text.leaves(page)]
+    assert texts("<p title=it's>one</p><p>two</p><p>three it's</p>") == ["one", "two", "three it's"]
+    assert texts('<p a="x>y" b=\'">\'>one <b>two</b></p>a < b <3 c<p>d') == ["one two", "a < b <3 c", "d"]
+    assert texts('<p>a<i b="never closed>c</i> d</p><p>e') == ["ac d", "e"]
+    assert texts("<p>a</p><i never closed") == ["a", "<i never closed"]
+    assert texts("a<!doctype html>b<!-- c --> d<?x?><!-- e") == ["ab d"]
+    for odd in ("<i " * 200_000, "<i x='\">'" * 100_000, '<p a="' * 100_000, "</" * 200_000, "<!" * 200_000, "<" * 300_000):
+        html_text.leaves(odd)  # ends soon
+
+
+def test_html_labels_unseen_layouts():
+    """Held-out made-up pages, as they are and with class and id names that training never saw."""
+    import random as rnd
+
+    r = rnd.Random(991)
+    model = html_text.trained()
+    for rename, least in ((False, 0.97), (True, 0.85)):
+        right = every = 0
+        for _ in range(80):
+            page = html_text.made_up_page(r)
+            if rename:
+                page = re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="u{zlib.crc32(m[2].encode()) % 1000}"', page)
+            blocks = html_text.leaves(page)
+            label = np.array([b.text.startswith("\x02") for b in blocks])
+            for b in blocks:
+                b.text = b.text.lstrip("\x02").strip() or "."
+            if blocks:
+                z = model.logits(*html_text._padded([html_text.vectors(blocks)]))[0][0]
+                right, every = right + int(((z > 0) == label).sum()), every + len(blocks)
+        assert right >= least * every
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
