@@ -38,8 +38,10 @@ def folded(d):
     return (
         ("f0", f"select doc_id, ord, line_no, line, case when {isframe} then 1 else 0 end as frame from k"),
         ("f1", "select *, row_number() over (partition by doc_id, ord order by line_no) - row_number() over (partition by doc_id, ord, frame order by line_no) as island from f0"),
-        ("f2", f"select *, {r.normalize(d, 'line')} as nl, cast(row_number() over (partition by doc_id, ord, frame, island order by line_no) as bigint) as i, cast(count(*) over (partition by doc_id, ord, frame, island) as bigint) as n from f1"),
-        ("f3", f"select *, {first} as sig from f2"),
+        ("f2", "select *, cast(row_number() over (partition by doc_id, ord, frame, island order by line_no) as bigint) as i, cast(count(*) over (partition by doc_id, ord, frame, island) as bigint) as n from f1"),
+        # only the first line of a long run is rewritten
+        ("f2a", f"select *, case when frame = 1 and n > 3 and i = 1 then {r.normalize(d, 'line')} end as nl from f2"),
+        ("f3", f"select *, {first} as sig from f2a"),
         ("f4", d.explode("f3", "doc_id, ord, line_no", f"case when frame = 1 and n > 3 and i = 1 then {header} when frame = 1 and n > 3 and i = 3 then {omitted} when frame = 0 or n <= 3 or i <= 2 or i = n then {d.list('line')} end", "sub", "line")),
         ("f", "select doc_id, ord, cast(row_number() over (partition by doc_id, ord order by line_no, sub) - 1 as bigint) as pos, line from f4"),
     )
@@ -78,8 +80,7 @@ def clusters(d):
     return (
         ("c0", "select *, row_number() over (partition by doc_id, signature, category order by ord) as running from s1 where not used"),
         ("c1", "select *, max(running) over (partition by doc_id, signature) as top from c0"),
-        ("cl", f"select doc_id, signature, cast(count(*) as bigint) as n_events, min(ord) as first_ord, {d.first_by('title', 'ord')} as title, {d.first_by('example', 'ord')} as example, {d.first_by('body', 'ord')} as body, {d.first_by('category', 'case when running = top then ord end')} as category from c1 group by doc_id, signature"),
-        ("cc", "select doc_id, signature, category, cast(count(*) as bigint) as n from c0 group by doc_id, signature, category"),
+        ("cl", f"select doc_id, signature, cast(count(*) as bigint) as n_events, min(ord) as first_ord, {d.first_by('title', 'ord')} as title, {d.first_by('template', 'ord')} as template, {d.first_by('example', 'ord')} as example, {d.first_by('body', 'ord')} as body, {d.first_by('category', 'case when running = top then ord end')} as category, {d.collect('category', 'ord')} as categories from c1 group by doc_id, signature"),
     )
 
 
@@ -92,12 +93,29 @@ def summary(d):
     flat = d.sub("body", r"\n", " ")
     benign = "(category = 'Network' and " + d.match(flat, r"\b2\d{2}\b") + " and not " + d.match(flat, r"(?i)(error|fail|exception|aborted|timeout|denied|reset|unauthorized|not found|500|401|403|404)") + ")"
     return (
-        ("u0", f"select doc_id, signature, first_ord, title, example from cl where not {benign}"),
-        ("u1", f"select cc.doc_id, cc.category, u0.title as template, cast(sum(cc.n) as bigint) as n, min(u0.first_ord) as first_ord, {d.first_by('example', 'first_ord')} as example from u0 join cc on u0.doc_id = cc.doc_id and u0.signature = cc.signature where cc.category <> 'Other' group by cc.doc_id, cc.category, u0.title"),
+        ("u0", f"select doc_id, first_ord, title, example, categories from cl where not {benign}"),
+        ("u", d.explode("u0", "doc_id, first_ord, title, example, categories", "categories", "i", "category")),
+        ("u1", f"select doc_id, category, title as template, cast(count(*) as bigint) as n, min(first_ord) as first_ord, {d.first_by('example', 'first_ord')} as example from u where category <> 'Other' group by doc_id, category, title"),
         ("su", "select *, cast(row_number() over (partition by doc_id, category order by n desc, first_ord, template) as bigint) as rank, cast(count(*) over (partition by doc_id, category) as bigint) as patterns, cast(sum(n) over (partition by doc_id, category) as bigint) as total from u1"),
     )
 
 
+def scenario(d):
+    """The story events with their context, as one text."""
+    return (
+        ("t", f"select doc_id, ord, case when category = 'Story' then concat(case when ord = min(ord) over (partition by doc_id) then '' else chr(10) end, body) else concat('  ', {d.sub('body', r'\n', '\n  ')}) end as part from s1 where used"),
+        ("st", f"select doc_id, concat('## Scenario Reconstruction', chr(10), {d.agg_join('part', 'chr(10)', 'ord')}) as scenario from t group by doc_id"),
+    )
+
+
+def error_text(d):
+    """The error summary as one text."""
+    return (
+        ("r0", "select doc_id, category, rank, case when rank = 1 then concat('### ', category, ' (', cast(total as string), ' occurrence', case when total > 1 then 's' else '' end, ')', chr(10)) else '' end as head, concat('- \"', case when length(template) > 160 then concat(substr(template, 1, 160), '…') else template end, '\" (', cast(n as string), '×) — example: ', case when length(example) > 160 then concat(substr(example, 1, 160), '…') else example end) as row, case when rank = 5 and patterns > 5 then concat(chr(10), '- … (', cast(patterns - 5 as string), ' additional patterns)') else '' end as tail from su where rank <= 5"),
+        ("es", f"select doc_id, concat('## Error Summary', chr(10), {d.agg_join('concat(head, row, tail)', 'chr(10)', 'concat(category, lpad(cast(rank as string), 3, ' + chr(39) + '0' + chr(39) + '))')}) as summary from r0 group by doc_id"),
+    )
+
+
 def relevant(d, e):
     flat = d.sub(e, r"\n", " ")
     code = d.find(flat, r"\b([1-5]\d{2})\b", 1)
@@ -149,25 +167,15 @@ QUERIES = {
     "events_relevant": from_events(lambda d: "select doc_id, ord, score, category from kept"),
     "events_diversity": from_events(lambda d: "select doc_id, ord, n_urls, n_numbers, n_tokens from ev"),
     "scenario_context": lambda d: query(*upto_events(d), *context(d), ("", "select doc_id, ord, category, is_context, inside = 1 as inside, used from s1")),
-    "scenario_text": lambda d: query(
-        *upto_events(d),
-        *context(d),
-        ("t", f"select doc_id, ord, case when category = 'Story' then concat(case when ord = min(ord) over (partition by doc_id) then '' else chr(10) end, body) else concat('  ', {d.sub('body', r'\n', '\n  ')}) end as part from s1 where used"),
-        ("", f"select doc_id, concat('## Scenario Reconstruction', chr(10), {d.agg_join('part', 'chr(10)', 'ord')}) as scenario from t group by doc_id"),
-    ),
+    "scenario_text": lambda d: query(*upto_events(d), *context(d), *scenario(d), ("", "select doc_id, scenario from st")),
     "events_unused": lambda d: query(*upto_events(d), *context(d), ("", "select kept.doc_id, kept.ord, kept.category from kept left anti join (select doc_id, ord from s1 where used) u on kept.doc_id = u.doc_id and kept.ord = u.ord" if d.name == "spark" else "select kept.doc_id, kept.ord, kept.category from kept anti join (select doc_id, ord from s1 where used) u on kept.doc_id = u.doc_id and kept.ord = u.ord")),
     "clusters_exact": from_clusters(lambda d: "select doc_id, signature, n_events, first_ord, title, category from cl"),
-    "cluster_category_counts": from_clusters(lambda d: "select doc_id, signature, category, n from cc"),
+    "cluster_category_counts": from_clusters(lambda d: f"select doc_id, signature, category, cast(count(*) as bigint) as n from ({d.explode('cl', 'doc_id, signature, categories', 'categories', 'i', 'category')}) q group by doc_id, signature, category"),
     "cluster_topk": from_clusters(lambda d: "select doc_id, signature, n_events, first_ord, category, rank from (select *, cast(row_number() over (partition by doc_id order by n_events desc, first_ord) as bigint) as rank, case when category = 'Other' then row_number() over (partition by doc_id, category order by n_events desc, first_ord) else 0 end as other from cl) t where other <= 5 and rank <= 20"),
     "cluster_thresholds": from_clusters(thresholds),
     "unique_events": from_clusters(lambda d: f"select doc_id, first_ord, category, example, rank from (select doc_id, first_ord, category, example, cast(row_number() over (partition by doc_id order by first_ord) as bigint) as rank from cl where n_events = 1 and {relevant(d, 'body')}) t where rank <= 3"),
     "error_summary_topk": lambda d: query(*upto_clusters(d), *summary(d), ("", "select doc_id, category, template, n, rank, patterns, total from su where rank <= 5")),
     "top_templates": lambda d: query(*upto_clusters(d), *summary(d), ("v", "select category, template, cast(sum(n) as bigint) as n, cast(count(*) as bigint) as n_docs from su group by category, template"), ("", "select category, template, n, n_docs, rank from (select *, cast(row_number() over (partition by category order by n desc, template) as bigint) as rank from v) t where rank <= 5")),
-    "render_compression": lambda d: query(
-        *upto_clusters(d),
-        *summary(d),
-        ("r0", "select doc_id, category, rank, case when rank = 1 then concat('### ', category, ' (', cast(total as string), ' occurrence', case when total > 1 then 's' else '' end, ')', chr(10)) else '' end as head, concat('- \"', case when length(template) > 160 then concat(substr(template, 1, 160), '…') else template end, '\" (', cast(n as string), '×) — example: ', case when length(example) > 160 then concat(substr(example, 1, 160), '…') else example end) as row, case when rank = 5 and patterns > 5 then concat(chr(10), '- … (', cast(patterns - 5 as string), ' additional patterns)') else '' end as tail from su where rank <= 5"),
-        ("", f"select doc_id, concat('## Error Summary', chr(10), {d.agg_join('concat(head, row, tail)', 'chr(10)', 'concat(category, lpad(cast(rank as string), 3, ' + chr(39) + '0' + chr(39) + '))')}) as summary from r0 group by doc_id"),
-    ),
+    "render_compression": lambda d: query(*upto_clusters(d), *summary(d), *error_text(d), ("", "select doc_id, summary from es")),
     "compression_stats": from_clusters(lambda d: "select a.doc_id, n_events, n_clusters, chars_in, chars_kept, round(100.0 * (1 - cast(chars_kept as double) / chars_in), 6) as reduction, cast(ceil(chars_in / 4.0) as bigint) as tokens_in from (select doc_id, cast(sum(length(line) + 1) as bigint) as chars_in from l group by doc_id) a join (select doc_id, cast(sum(n_events) as bigint) as n_events, cast(count(*) as bigint) as n_clusters, cast(sum(length(title)) as bigint) as chars_kept from cl group by doc_id) b on a.doc_id = b.doc_id"),
 }

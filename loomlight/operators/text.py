@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .logs import query
-from .turns import STOP_WORDS
 
 # Technical tokens and the MinHash family.
 TECHNICAL = (
@@ -16,6 +15,18 @@ TECHNICAL = (
     r"^/[a-zA-Z0-9/_-]*$",
     r"(?i)^(select|insert|update|delete|create|drop|alter|table|index|where|join|from|into)$",
 )
+#: Words that carry no meaning for similarity.
+STOP_WORDS = (
+    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should may might must can shall "
+    "this that these those i you he she it we they me him her us them my your his its our their what which who when where why how all any both each few more "
+    "most other some such no nor not only own same so than too very just also then now here there up down left right back front side top bottom inside outside "
+    "before after above below between among through across into onto from until while during since because although unless even though whether either neither else instead "
+    "rather still yet again further moreover therefore however otherwise besides anyway meanwhile accordingly consequently finally furthermore hence likewise next nonetheless similarly "
+    "subsequently thus according along amid amidst amongst around as aside astride away barring behind beneath beside beyond circa concerning considering despite due "
+    "except excluding failing following forth given gone including like minus near nearby notwithstanding off opposite out over owing past pending per plus pro qua regarding "
+    "respecting round save saving short subsequent thanks thence throughout thru till toward towards under underneath unlike unto upon versus via vice vis within without "
+    "worth yes ok okay true false null undefined"
+).split()
 HASHES, BANDS, PER_BAND, PRIME = 100, 20, 5, 4294967291
 
 
@@ -52,8 +63,11 @@ def weights(d, key):
     )
 
 
-BENCH = ("b", "select item_id, lower(text) as text from benchmark where text is not null")
-PAIRS = ("p", "select a.item_id as a, c.item_id as b, a.text as ta, c.text as tb from b a join b c on c.item_id = a.item_id + 1")
+BENCH = ("b", "select item_id, lower(text) as text from benchmark where text is not null and item_id is not null")
+#: The stated query set: items whose id is divisible by 50, against all others.
+ASKED = "x.item_id % 50 = 0 and x.item_id <> y.item_id"
+PAIRS = ("p", f"select x.item_id as a, y.item_id as b, x.text as ta, y.text as tb from b x join b y on {ASKED}")
+DOCS = ("b", "select doc_id, coalesce(text, '') as text from documents")
 
 
 def ascii_only(d):
@@ -72,9 +86,18 @@ def signature(d):
     )
 
 
-def banded(d):
+SAME = " and ".join(f"s.m{i} = e.m{i}" for i in range(HASHES))
+
+
+def classes(d):
+    """Documents of equal signature: smallest id, and whether an id divisible by 50 is among them."""
+    every = ", ".join(f"m{i}" for i in range(HASHES))
+    return (("e", f"select min(doc_id) as class, max(case when doc_id % 50 = 0 then 1 else 0 end) as asked, {every} from s group by {every}"),)
+
+
+def banded(d, src="s", key="doc_id"):
     band = lambda k: f"concat('{k}'" + "".join(f", '-', cast(m{k * PER_BAND + j} as string)" for j in range(PER_BAND)) + ")"
-    return (("z", d.explode("s", "doc_id", d.list(*(band(k) for k in range(BANDS))), "band", "bucket")),)
+    return (("z", d.explode(src, key, d.list(*(band(k) for k in range(BANDS))), "band", "bucket")),)
 
 
 def cosine(d, a, b):
@@ -85,9 +108,9 @@ def cosine(d, a, b):
 QUERIES = {
     "lines_split": lambda d: query(("", d.explode("documents", "doc_id", d.split("coalesce(text, '')", r"\r?\n"), "line_no", "line"))),
     "tokens_basic": lambda d: query(("", f"select doc_id, {d.size(basic(d, 'coalesce(text, ' + chr(39) * 2 + ')'))} as n_tokens, {d.size(d.distinct_sorted(basic(d, 'coalesce(text, ' + chr(39) * 2 + ')')))} as n_distinct from documents")),
-    "tokens_enhanced": lambda d: query(BENCH, *enhanced(d, "b", "item_id", "text"), ("", f"select item_id, n_technical, n_regular, {d.size('tokens')} as n_tokens, {d.join('tokens', chr(39) + '|' + chr(39))} as tokens from a2")),
-    "token_weights": lambda d: query(BENCH, *enhanced(d, "b", "item_id", "text"), *weights(d, "item_id"), ("", "select item_id, token, round(w, 6) as weight from g")),
-    "token_stats": lambda d: query(BENCH, *enhanced(d, "b", "item_id", "text"), *weights(d, "item_id"), ("", "select g.item_id, cast(count(*) as bigint) as n_unique, cast(sum(case when token like '% %' then 1 else 0 end) as bigint) as n_grams, round(sum(w), 5) as total_weight, max(n_technical) as n_technical from g join a2 on g.item_id = a2.item_id group by g.item_id")),
+    "tokens_enhanced": lambda d: query(DOCS, *enhanced(d, "b", "doc_id", "text"), ("", f"select doc_id, n_technical, n_regular, {d.size('tokens')} as n_tokens, {d.join('tokens', chr(39) + '|' + chr(39))} as tokens from a2")),
+    "token_weights": lambda d: query(DOCS, *enhanced(d, "b", "doc_id", "text"), *weights(d, "doc_id"), ("", "select doc_id, token, round(w, 6) as weight from g")),
+    "token_stats": lambda d: query(DOCS, *enhanced(d, "b", "doc_id", "text"), *weights(d, "doc_id"), ("", "select g.doc_id, cast(count(*) as bigint) as n_unique, cast(sum(case when token like '% %' then 1 else 0 end) as bigint) as n_grams, round(sum(w), 5) as total_weight, max(n_technical) as n_technical from g join a2 on g.doc_id = a2.doc_id group by g.doc_id")),
     "token_estimate": lambda d: query(("", "select doc_id, cast(ceil(length(coalesce(text, '')) / 4.0) as bigint) as n_tokens from documents")),
     "sim_levenshtein_pairs": lambda d: query(("b", f"select item_id, {ascii_only(d)} as text from benchmark where text is not null"), PAIRS, ("", "select a, b, cast(levenshtein(ta, tb) as bigint) as distance, round(cast(levenshtein(ta, tb) as double) / greatest(length(ta), length(tb)), 6) as ratio from p where length(ta) + length(tb) > 0")),
     "sim_jaccard_pairs": lambda d: query(
@@ -95,37 +118,40 @@ QUERIES = {
         ("k", d.explode("b", "item_id", basic(d, "text"), "i", "t")),
         ("u", "select distinct item_id, t from k"),
         ("n", "select item_id, count(*) as n from u group by item_id"),
-        ("c", "select x.item_id as a, y.item_id as b, count(*) as n_both from u x join u y on x.t = y.t and y.item_id = x.item_id + 1 group by 1, 2"),
+        ("c", f"select x.item_id as a, y.item_id as b, count(*) as n_both from u x join u y on x.t = y.t and {ASKED} group by 1, 2"),
         ("", "select a, b, round(cast(n_both as double) / (na.n + nb.n - n_both), 6) as jaccard from c join n na on na.item_id = a join n nb on nb.item_id = b"),
     ),
     "sim_weighted_jaccard": lambda d: query(
         BENCH,
         *enhanced(d, "b", "item_id", "text"),
         *weights(d, "item_id"),
-        ("m", "select item_id, token, w from g union all select item_id - 1 as item_id, token, -w as w from g"),
-        ("q", "select item_id, token, max(case when w > 0 then w else 0.0 end) as wa, max(case when w < 0 then -w else 0.0 end) as wb from m group by item_id, token"),
-        ("", "select item_id as a, item_id + 1 as b, round(sum(least(wa, wb)) / sum(greatest(wa, wb)), 5) as similarity from q where item_id in (select item_id from g) and item_id + 1 in (select item_id from g) group by item_id"),
+        ("n", "select item_id, sum(w) as total from g group by item_id"),
+        ("c", f"select x.item_id as a, y.item_id as b, sum(least(x.w, y.w)) as low from g x join g y on x.token = y.token and {ASKED} group by 1, 2"),
+        ("", "select a, b, round(low / (na.total + nb.total - low), 5) as similarity from c join n na on na.item_id = a join n nb on nb.item_id = b"),
     ),
     "sim_semantic_pairs": lambda d: query(
         BENCH,
         ("k", d.explode("b", "item_id", d.filter(d.split("text", "[^a-z0-9_]+"), "length(x) > 2"), "i", "t")),
         ("u", "select distinct item_id, t from k"),
         ("n", "select item_id, count(*) as n from u group by item_id"),
-        ("c", "select x.item_id as a, y.item_id as b, count(*) as n_both from u x join u y on x.t = y.t and y.item_id = x.item_id + 2 group by 1, 2"),
+        ("c", f"select x.item_id as a, y.item_id as b, count(*) as n_both from u x join u y on x.t = y.t and {ASKED} group by 1, 2"),
         ("", "select a, b, round(cast(n_both as double) / (na.n + nb.n - n_both), 6) as similarity from c join n na on na.item_id = a join n nb on nb.item_id = b"),
     ),
     "sim_cosine_topk": lambda d: query(
         ("v", f"select vec_id, label, embedding, sqrt({cosine(d, 'embedding', 'embedding')}) as norm from embeddings"),
-        ("p", f"select q.vec_id as query_id, v.vec_id as vec_id, round({cosine(d, 'q.embedding', 'v.embedding')} / (q.norm * v.norm), 6) as similarity from (select * from v where vec_id % 50 = 0) q join v on q.label = v.label and q.vec_id <> v.vec_id where q.norm > 0 and v.norm > 0"),
+        ("p", f"select q.vec_id as query_id, v.vec_id as vec_id, round({cosine(d, 'q.embedding', 'v.embedding')} / (q.norm * v.norm), 6) as similarity from (select * from v where vec_id % 50 = 0) q join v on q.vec_id <> v.vec_id where q.norm > 0 and v.norm > 0"),
         ("", "select query_id, vec_id, similarity, rank from (select *, cast(row_number() over (partition by query_id order by similarity desc, vec_id) as bigint) as rank from p) t where rank <= 5"),
     ),
     "minhash_signature": lambda d: query(*signature(d), ("", "select * from s")),
+    "lsh_classes": lambda d: query(*signature(d), *classes(d), ("", "select doc_id, class from s join e on " + SAME)),
     "lsh_candidates": lambda d: query(
         *signature(d),
-        *banded(d),
-        ("f", "select bucket, min(doc_id) as first_id from z group by bucket"),
-        ("l", "select distinct first_id as a, doc_id as b from z join f on z.bucket = f.bucket where doc_id <> first_id"),
-        ("", "select a, b, cast(" + " + ".join(f"case when x.m{i} = y.m{i} then 1 else 0 end" for i in range(HASHES)) + f" as double) / {HASHES} as similarity from l join s x on x.doc_id = a join s y on y.doc_id = b"),
+        *classes(d),
+        *banded(d, "e", "class"),
+        # the asked classes hold a doc_id divisible by 50; any member of a bucket meets any other that differs
+        ("l", "select distinct x.class as a, y.class as b from z x join z y on x.bucket = y.bucket join e on e.class = x.class and e.asked = 1 where x.class <> y.class"),
+        ("k", "select a, b, cast(" + " + ".join(f"case when x.m{i} = y.m{i} then 1 else 0 end" for i in range(HASHES)) + f" as double) / {HASHES} as similarity from l join e x on x.class = a join e y on y.class = b"),
+        ("", "select a, b, similarity from k where similarity >= 0.5"),
     ),
     "lsh_bucket_stats": lambda d: query(*signature(d), *banded(d), ("k", "select band, bucket, count(*) as n from z group by band, bucket"), ("", "select cast(band as bigint) as band, cast(min(n) as bigint) as smallest, cast(max(n) as bigint) as largest, round(avg(cast(n as double)), 6) as mean, cast(count(*) as bigint) as buckets from k group by band")),
     "sample_last_n": lambda d: query(("", "select user_id, event_id, nth from (select user_id, event_id, cast(row_number() over (partition by user_id order by ts desc, event_id desc) as bigint) as nth from events) t where nth <= 5")),
