@@ -122,12 +122,10 @@ def document(d):
     )
 
 
-#: Steps that several others read.
-CUTS = ("f", "ev", "c0", "cl", "sm", "kr")
-
-
 class on:
-    """A query as steps, and as one text."""
+    """A query as steps, and as one text. CUTS: the steps that several others read."""
+
+    CUTS = ("f", "ev", "c0", "cl", "sm", "kr")
 
     def __init__(self, *more, select):
         self.more, self.select = more, select

@@ -7,11 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from ..operators import digest, grouped, logs, recap, render, structure, text, turns, vectors
+from ..operators import digest, grouped, logs, recap, render, reports, structure, text, turns, vectors
 from .tables import staged
 
 TABLES = ("events", "documents", "conversations", "embeddings", "benchmark", "labels", "pages")
-DEFINITIONS = {**logs.QUERIES, **turns.QUERIES, **digest.QUERIES, **recap.QUERIES, **text.QUERIES, **render.QUERIES, **structure.QUERIES}
+DEFINITIONS = {**logs.QUERIES, **turns.QUERIES, **digest.QUERIES, **recap.QUERIES, **text.QUERIES, **render.QUERIES, **reports.QUERIES, **structure.QUERIES}
 
 
 def _run(definition):
@@ -21,7 +21,7 @@ def _run(definition):
             if re.search(rf"\b{t}\b", text):
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         if hasattr(definition, "steps"):
-            return staged(spark, definition.steps(SPARK), render.CUTS, logs.query)
+            return staged(spark, definition.steps(SPARK), definition.CUTS, logs.query)
         return spark.sql(text)
 
     return query
