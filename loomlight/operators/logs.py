@@ -15,6 +15,21 @@ def query(*steps: tuple[str, str]) -> str:
     return ("with " + ",\n".join(f"{n} as ({s})" for n, s in named) + "\n" + last) if named else last
 
 
+class staged:
+    """A query as steps and as one text. CUTS: the steps that several others read, which Spark writes once."""
+
+    CUTS: tuple[str, ...] = ()
+
+    def __init__(self, *more, select):
+        self.more, self.select = more, select
+
+    def steps(self, d):
+        return [*(s for m in self.more for s in m(d)), ("", self.select(d) if callable(self.select) else self.select)]
+
+    def __call__(self, d):
+        return query(*self.steps(d))
+
+
 def lines(d):
     return ("l", LINES)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from ..functions import rules as r
 from ..sources.logs import LINES
 from .digest import DECISIONS, ERROR_LINE, FILES, errors, valid_path
-from .logs import query
+from .logs import query, staged
 from .turns import turn_type
 
 # Words and patterns of the recap.
@@ -18,6 +18,8 @@ ISSUE = r"error|failed|exception|panic|crash|timeout|fatal|segfault"
 COMMAND = r"(?i)bash -lc|rg -n|ls -la|pnpm|npm|yarn|git\s|xcode|gradle|adb|fastlane|flutter|expo|buck|bazel"
 CHANGE = r"(?i)(added|created|updated|implemented|refactor|hook|dialog|route|screen|view|component|service|controller|handler|api|endpoint|migration|schema|adapter|widget|fragment|activity|swift|kotlin|objective-c|java|android|ios|react native|lambda|cloud|infra|terraform|helm|docker|kubernetes|monitoring|telemetry|ci|cd)"
 PLAN = r"(?i)(decide|plan|milestone|stack|should focus|roadmap|next steps|prioritize|strategy|architecture|approach|proposal)"
+COMMAND_LINE = r"^\s*(\d{2,5})\s+-"
+DETAIL_VERB, DASHES = r"(?i)^(Updated|Refactored|Changed|Fixed|Added)\s+", r"^[\x{2014}\x{2013}\-:]+\s*"
 MOST_EVENTS, MOST_CHARS = 80, 18_000
 GROUPS = (("briefing", "Initial context", 3), ("command", "Investigations", 4), ("action", "Implementation", 5), ("error", "Issues", 5), ("decision", "Decisions", 3), ("note", "Notes", 3))
 
@@ -63,11 +65,27 @@ def events(d):
     focus = "focus"
     decision = f"case when {d.match('lower(focus)', '^(will|should|plan|decided|prioritize|focus)')} then concat('Decision: ', {cut(focus, 200)}) else concat('Decision: ', {cut(chr(40) + 'concat(' + chr(39) + 'to ' + chr(39) + ', focus)' + chr(41), 200)}) end"
     verb = "case " + " ".join(f"when {d.match('focus', '(?i)' + p)} then '{v}'" for p, v in (("implement", "Implemented"), ("refactor", "Refactored"), ("update", "Updated"), ("create", "Created"), ("add", "Added"), ("fix", "Fixed"), ("ran", "Ran"))) + " else 'Changed' end"
-    command = f"case when {d.match('lower(clean)', 'rg -n|ripgrep')} then 'Scanned repository with ripgrep' when {d.match('lower(clean)', 'ls -')} then 'Listed directories to map artifacts' when {d.match('lower(clean)', 'git status')} then 'Checked repository status (git status)' else concat('Ran command: ', {cut('clean', 160)}) end"
-    named = f"concat({verb}, ' ', {d.join(d.slice('files', '1', '2'), chr(39) + ', ' + chr(39))}, ' – ', {cut('focus', 160)})"
+    low = "lower(clean)"
+    shell = d.match(low, "bash -lc")
+    outcomes = (
+        (d.match("clean", COMMAND_LINE), f"concat('Inspected code around line ', {d.find('clean', COMMAND_LINE, 1)})"),
+        (d.match(low, "rg -n|ripgrep"), "'Scanned repository with ripgrep'"),
+        (d.match(low, "ls -"), "'Listed directories to map artifacts'"),
+        (d.match(low, "pnpm lint|npm run lint|yarn lint"), "'Ran lint to validate types/rules'"),
+        (d.match(low, "git status"), "'Checked repository status (git status)'"),
+        (f"{shell} and {d.match(low, 'nl -ba')}", "'Read files with numbering for contextual review'"),
+        (f"{shell} and {d.match(low, 'rg')}", "'Executed custom grep to locate routes/plans'"),
+    )
+    command = "case " + " ".join(f"when {c} then {v}" for c, v in outcomes) + f" else concat('Ran command: ', {cut('clean', 160)}) end"
+    named = f"concat({verb}, ' ', {d.join(d.slice('files', '1', '2'), chr(39) + ', ' + chr(39))}, ' – ', {cut('detail', 160)})"
     return (
         ("z0", f"select *, {clause(d, 'clean')} as focus from y where score >= 4 and not {d.match('raw', NOISE)} and not (kind = 'error' and score < 5) and not (kind = 'note' and n_files = 0 and n_errors = 0)"),
-        ("z1", f"select *, case when intent = 'command' then {command} when intent = 'decision' then {decision} when n_files > 0 then {named} else {cut(focus, 200)} end as summary from z0 where clean <> ''"),
+        # the detail of a change: without the first file, its verb and dashes
+        ("z0a", f"select *, {d.at('files', '1')} as file from z0"),
+        ("z0b", "select *, cast(case when file is null then 0 else instr(lower(focus), lower(file)) end as int) as file_at from z0a"),
+        ("z0c", f"select *, {d.sub(r.trim(d, d.sub(r.trim(d, 'case when file_at > 0 then concat(substr(focus, 1, file_at - 1), substr(focus, file_at + length(file))) else focus end'), DETAIL_VERB, '')), DASHES, '')} as rest from z0b"),
+        ("z0d", f"select *, {clause(d, 'rest')} as detail from z0c"),
+        ("z1", f"select *, case when intent = 'command' then {command} when intent = 'decision' then {decision} when n_files > 0 then {named} else {cut(focus, 200)} end as summary from z0d where clean <> ''"),
         ("z2", "select *, row_number() over (partition by doc_id, intent, summary order by idx) as copy from z1"),
         ("z", "select * from z2 where intent <> 'command' or copy = 1"),
     )
@@ -129,8 +147,13 @@ def sections(d):
     )
 
 
-def on(*more, select):
-    return lambda d: query(*turns(d), *(s for m in more for s in m(d)), ("", select(d) if callable(select) else select))
+class on(staged):
+    """A query over the turns; those and the events are read by several steps."""
+
+    CUTS = ("y", "z")
+
+    def __init__(self, *more, select):
+        super().__init__(turns, *more, select=select)
 
 
 def speech(d):

@@ -7,7 +7,7 @@ an empty cluster section; texts are cut by code points, lists by the fixed limit
 from __future__ import annotations
 
 from ..functions import rules as r
-from .logs import error_text, lines, query, relevant, scenario, summary, upto_clusters
+from .logs import error_text, lines, query, relevant, scenario, staged, summary, upto_clusters
 
 # Limits of the document, and the parts of a line that a cut keeps.
 MOST_CHARS, MOST_CLUSTERS, MOST_OTHER, MOST_UNIQUE = 240, 20, 5, 3
@@ -122,19 +122,11 @@ def document(d):
     )
 
 
-class on:
-    """A query as steps, and as one text. CUTS: the steps that several others read."""
-
+class on(staged):
     CUTS = ("f", "ev", "c0", "cl", "sm", "kr")
 
     def __init__(self, *more, select):
-        self.more, self.select = more, select
-
-    def steps(self, d):
-        return [*upto_clusters(d), *(s for m in self.more for s in m(d)), ("", self.select)]
-
-    def __call__(self, d):
-        return query(*self.steps(d))
+        super().__init__(upto_clusters, *more, select=select)
 
 
 def _lines_short(d):

@@ -10,9 +10,8 @@ from __future__ import annotations
 from ..functions import rules as r
 from . import digest, recap
 from .digest import _firsts
-from .logs import lines
+from .logs import lines, staged
 from .recap import clause, cut
-from .render import on as lines_on
 
 # Labels and limits of the highlights, icons of the timeline, texts of empty sections.
 HIGHLIGHTS = (("briefing", "Briefing", 3), ("command", "Investigations", 8), ("action", "Implementations", 8), ("decision", "Decisions", 5), ("note", "Notes", 3))
@@ -87,18 +86,9 @@ def output_text(d):
     )
 
 
-class on(lines_on):
-    """A report as steps and as one text."""
-
+class on(staged):
     CUTS = ("y", "z", "er", "fx", "fi", "ch", "h", "pr", "mo")
 
-    def __init__(self, first, *more, select):
-        super().__init__(*more, select=select)
-        self.first = first
-
-    def steps(self, d):
-        return [*self.first(d), *(s for m in self.more for s in m(d)), ("", self.select)]
-
 
 def _recap(*more, select):
     parts = (recap.events, recap.briefing, digest.errors, lambda d: recap.timeline(d)[:1], recap.whole_timeline, recap.whole_chunks, recap.sections, digest.fixes, digest.text, digest.files, problems, monitored, highlights, recap_text)
@@ -140,6 +130,7 @@ def digest_text(d):
 
 
 QUERIES = {
+    "turn_errors": on(recap.turns, digest.errors, select="select y.doc_id, y.idx, er.signature from y join er on y.doc_id = er.doc_id where instr(y.raw, er.signature) > 0 or instr(y.raw, substr(er.message, 1, 50)) > 0"),
     "recap_problem_lines": _recap(select="select doc_id, rank, signature, problem from pr where rank <= 6"),
     "recap_highlight_sections": _recap(select="select doc_id, sort_key, section from hi"),
     "render_recap_document": _recap(select="select doc_id, recap from rt"),

@@ -105,7 +105,20 @@ def cosine(d, a, b):
     return zipped
 
 
+# Limits of what is taken in.
+MOST_MB, MOST_TOKENS, MOST_EVENTS, MOST_LINE, MOST_LINES = 100, 1000, 50_000, 2_000_000, 500_000
+SIZE = "length(text) * 2.0 / 1048576"
+
+
+def validated(d):
+    return f"case when text is null then 'Input must be a string' when text = '' then 'Input cannot be empty' when {SIZE} > {MOST_MB} then concat('Log size exceeds maximum (', '{MOST_MB}', 'MB)') else '' end"
+
+
 QUERIES = {
+    "validate_input": lambda d: query(("v", f"select doc_id, text, {validated(d)} as error from documents"), ("", f"select doc_id, error = '' as is_valid, error, cast(round({SIZE}, 2) as double) as size_mb from v")),
+    "validate_tokens": lambda d: query(("v", "select doc_id, text, cast(ceil(length(text) / 4.0) as bigint) as n_tokens from documents"), ("", f"select doc_id, n_tokens, coalesce(text <> '' and n_tokens <= {MOST_TOKENS}, false) as is_valid from v")),
+    "sanitize_lines": lambda d: query(("k", d.explode("documents", "doc_id", d.split("coalesce(text, '')", r"\n"), "line_no", "line")), ("n", f"select *, cast(row_number() over (partition by doc_id order by line_no) as bigint) as nth from k where length(line) <= {MOST_LINE}"), ("", f"select doc_id, nth, line from n where nth <= {MOST_LINES}")),
+    "empty_input": lambda d: query(("", f"select doc_id, case when text is null or not {d.match('text', r'\S')} then 'No log provided.' end as answer from documents")),
     "lines_split": lambda d: query(("", d.explode("documents", "doc_id", d.split("coalesce(text, '')", r"\r?\n"), "line_no", "line"))),
     "tokens_basic": lambda d: query(("", f"select doc_id, {d.size(basic(d, 'coalesce(text, ' + chr(39) * 2 + ')'))} as n_tokens, {d.size(d.distinct_sorted(basic(d, 'coalesce(text, ' + chr(39) * 2 + ')')))} as n_distinct from documents")),
     "tokens_enhanced": lambda d: query(DOCS, *enhanced(d, "b", "doc_id", "text"), ("", f"select doc_id, n_technical, n_regular, {d.size('tokens')} as n_tokens, {d.join('tokens', chr(39) + '|' + chr(39))} as tokens from a2")),

@@ -61,6 +61,56 @@ def test_segmentation(spark):
         assert got[d] == sequential([r["line"] for r in lines if r["doc_id"] == d])
 
 
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("x" * 240, "x" * 240),
+        ("x" * 300, "x" * 120 + " … " + "x" * 120),
+        ("GET /a/b 500 in " + "y" * 300, "GET /a/b 500 … " + "y" * 111),
+        ("at src/core/a.ts:12 " + "z" * 300, "src/core/a.ts:12 … " + "z" * 109),
+        ("q" * 100 + " Error: bad" + "w" * 200, "q" * 100 + " Error: bad" + "w" * 16 + " … " + "w" * 54),
+    ],
+)
+def test_long_lines_keep_both_ends(spark, line, want):
+    from loomlight.functions.dialect import SPARK
+    from loomlight.operators.render import shortened
+
+    spark.createDataFrame([(line,)], "line string").createOrReplaceTempView("long_lines")
+    steps = shortened(SPARK, "long_lines", "1 as one", "line", "short")
+    assert spark.sql(logs.query(*steps, ("", "select short from long_lines_c"))).first()[0] == want
+
+
+def test_structural_similarity(spark):
+    """Classes against each other by the reference's steps, text by text."""
+    from loomlight.operators.structure import PARTS, PATTERNS
+
+    def parts(t):
+        found = [p for p in PATTERNS if re.search(p[1], t)]
+        shape = t
+        for p, to in PARTS:
+            shape = re.sub(p, to, shape)
+        return [p[0] for p in found if p[3] == 1], {p[2] for p in found}, shape, [e for e in re.split(r"[^a-zA-Z0-9{}_-]", shape) if "{" in e]
+
+    def similarity(a, b):
+        (la, ka, sa, ea), (lb, kb, sb, eb) = parts(a), parts(b)
+        if set(la) & set(lb):
+            return 0.9 + 0.05 * len(set(la) & set(lb))
+        if ka & kb:
+            return 0.7 + 0.1 * len(ka & kb)
+        if sa == sb:
+            return 0.8
+        return len([e for e in ea if e in eb]) / max(len(ea), len(eb)) * 0.6 if max(len(ea), len(eb)) else 0.0
+
+    spark.read.parquet(f"{DATA}/events.parquet").createOrReplaceTempView("events")
+    from loomlight.sources.logs import LINES
+
+    text = {r["doc_id"] * 1000000 + r["line_no"]: r["line"] for r in spark.sql(LINES).collect()}
+    rows = registry.queries()["struct_similarity"](spark, DATA).collect()
+    assert len(rows) > 20
+    for r in rows:
+        assert abs(r["similarity"] - similarity(text[r["a"]], text[r["b"]])) < 1e-5
+
+
 def test_kernels():
     assert grouped.levenshtein("kitten", "sitting", 9) == 3
     assert grouped.greedy([("X X", "A"), ("X X", "B"), ("X Y", "A")], 0.0084, 0.8) == [0, 0, 1]
@@ -74,7 +124,7 @@ def test_streaming(spark):
     assert got == {"Other": 1, "Authentication": 1}
 
 
-QUICK = ["lines_normalize", "line_score", "events_score", "clusters_exact", "error_summary_topk", "turns_segment", "turn_tfidf", "digest_files", "recap_timeline", "lsh_candidates", "sim_weighted_jaccard", "chat_json_parse"]
+QUICK = ["lines_normalize", "line_score", "events_score", "clusters_exact", "error_summary_topk", "turns_segment", "turn_tfidf", "digest_files", "recap_timeline", "lsh_candidates", "sim_weighted_jaccard", "chat_json_parse", "render_document", "render_recap_output", "render_digest_document", "struct_similarity", "lines_truncate"]
 
 
 @pytest.mark.parametrize("name", QUICK)
