@@ -55,7 +55,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: The stages need models, hashing of bytes and tokenizers: no SQL. tests/llm tests the whole against brute force.
+#: The stages need models, hashing of bytes and tokenizers: no SQL. test_pipeline_against_brute_force in tests/llm holds the whole against plain sets, windows and the tokenizers library.
 ORACLE_SQL = None
 
 

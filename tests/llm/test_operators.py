@@ -594,6 +594,74 @@ def test_html_labels_unseen_layouts():
         assert right >= least * every
 
 
+def plain_pipeline(rows, items, tok):
+    """(doc_id, piece, ids) of the kept documents, by sets, word windows and the tokenizers library."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    rows = [(i, t) for i, t in rows if t and re.search(r"[^\W\d_]", t)]
+    sets = []
+    for _, t in rows:
+        w = split(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    first = {c: min((rows[k][0], k) for k in range(len(rows)) if label[k] == c)[1] for c in set(label)}
+    rows = [rows[k] for k in sorted(first.values())]
+    seen = {}
+    for k, (_, t) in enumerate(rows):
+        w = split(t)
+        for j in range(len(w) - 49):
+            seen.setdefault(tuple(w[j : j + 50]), set()).add(k)
+    cleaned = []
+    for i, t in rows:
+        w, gone = split(t), set()
+        for j in range(len(w) - 49):
+            if len(seen[tuple(w[j : j + 50])]) > 1:
+                gone.update(range(j, j + 50))
+        starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] + [len(t)]
+        lead = t[: starts[0]]
+        cleaned.append((i, lead + "".join(t[starts[k] : starts[k + 1]] for k in range(len(w)) if k not in gone)))
+    out = []
+    for i, t in cleaned:
+        n, hit, _ = plain_hits(t, items)
+        if not (hit and 20 * hit >= n):
+            ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+            out += [(i, k, zlib.crc32(ids[s : s + x].tobytes())) for k, (s, x) in enumerate(packing.cut(len(ids), 1024))]
+    return sorted(out)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Nulls, repeated rows and ids, near copies, shared passages, benchmark text, a text of many pieces, clashing columns."""
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    fresh = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    passage, item, base = fresh(70), fresh(30), fresh(200)
+    texts = [fresh(rnd.randint(8, 90)) for _ in range(20)]
+    texts += [f"{fresh(40)} {passage} {fresh(30)}", f"{fresh(60)}\n{passage}  {fresh(9)}", passage[:200] + " " + fresh(50)]
+    texts += [base, base, base + " tail", base.upper(), f"{item} {fresh(30)}", f"{fresh(900)} {item}", None, "", "12 34 ..", fresh(2500), "é " + fresh(30)]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (3, texts[3]), (5, fresh(40))]
+    items = [(1, item), (2, None), (3, fresh(20))]
+    frame = spark.createDataFrame([(i, t, rnd.choice(["aa", "bb"]), "s", len(t or ""), i) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == plain_pipeline(rows, items, bpe.with_offsets(bpe.read(None)))
+    spark.createDataFrame([], frame.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_special_tokens_are_those_of_the_library():
+    raw = bpe.read(None)
+    encode, tok = bpe.encoder(raw), bpe.with_offsets(raw)
+    for t in ("a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endo", "plain  text\n\n é"):
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
