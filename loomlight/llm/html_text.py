@@ -148,20 +148,27 @@ def _slot(text: str, dim: int) -> tuple[int, float]:
 
 def vectors(blocks: list[Leaf]) -> np.ndarray:
     """One row for each leaf."""
-    out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + SHAPE_DIM), dtype=np.float32)
+    n = len(blocks)
+    out = np.zeros((n, PATH_DIM + WORD_DIM + SHAPE_DIM), dtype=np.float32)
+    half = PATH_DIM // 2
+    place, signs, word_place, word_signs, shape = [], [], [], [], []
     for k, leaf in enumerate(blocks):
+        at = k * PATH_DIM
         for depth, names in enumerate(reversed(leaf.path)):
-            for n in names:
-                i, sign = _slot(n, PATH_DIM // 2)
-                out[k, i + (PATH_DIM // 2 if depth else 0)] += sign
-        words = leaf.text.lower().split()
-        for w in words:
-            i, sign = _slot(w, WORD_DIM)
-            out[k, PATH_DIM + i] += sign
-        out[k, PATH_DIM : PATH_DIM + WORD_DIM] /= max(len(words), 1)
-        n = len(leaf.text)
+            slots = [_slot(name, half) for name in names]
+            place += [at + i + (half if depth else 0) for i, _ in slots]
+            signs += [sign for _, sign in slots]
+        slots = [_slot(w, WORD_DIM) for w in leaf.text.lower().split()]
+        at = k * WORD_DIM
+        word_place += [at + i for i, _ in slots]
+        word_signs += [sign / len(slots) for _, sign in slots]
+        size = len(leaf.text)
         ends = sum(map(leaf.text.count, ".!?,"))
-        out[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 5, min(leaf.linked / n, 1.0), min(10 * ends / n, 2.0), len(leaf.path) / 8, k / len(blocks), 1.0)
+        shape.append((np.log1p(size) / 5, min(leaf.linked / size, 1.0), min(10 * ends / size, 2.0), len(leaf.path) / 8, k / n, 1.0))
+    if n:
+        out[:, :PATH_DIM] = np.bincount(place, weights=signs, minlength=n * PATH_DIM).reshape(n, PATH_DIM) if place else 0
+        out[:, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(word_place, weights=word_signs, minlength=n * WORD_DIM).reshape(n, WORD_DIM) if word_place else 0
+        out[:, PATH_DIM + WORD_DIM :] = shape
     return out
 
 
