@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .logs import query
+from .logs import query, staged
 
 # Technical tokens and the MinHash family.
 TECHNICAL = (
@@ -100,6 +100,20 @@ def banded(d, src="s", key="doc_id"):
     return (("z", d.explode(src, key, d.list(*(band(k) for k in range(BANDS))), "band", "bucket")),)
 
 
+class signed(staged):
+    """Signatures and their classes are written once."""
+
+    CUTS = ("s", "e")
+
+
+def candidates(d):
+    """The asked classes, which hold a doc_id divisible by 50: any member of a bucket meets any other that differs."""
+    return (
+        ("l", "select distinct x.class as a, y.class as b from z x join z y on x.bucket = y.bucket join e on e.class = x.class and e.asked = 1 where x.class <> y.class"),
+        ("k", "select a, b, cast(" + " + ".join(f"case when x.m{i} = y.m{i} then 1 else 0 end" for i in range(HASHES)) + f" as double) / {HASHES} as similarity from l join e x on x.class = a join e y on y.class = b"),
+    )
+
+
 def cosine(d, a, b):
     zipped = f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (acc, x) -> acc + x)" if d.name == "spark" else f"list_sum(list_transform(list_zip({a}, {b}), lambda x: cast(x[1] as double) * cast(x[2] as double)))"
     return zipped
@@ -156,16 +170,8 @@ QUERIES = {
         ("", "select query_id, vec_id, similarity, rank from (select *, cast(row_number() over (partition by query_id order by similarity desc, vec_id) as bigint) as rank from p) t where rank <= 5"),
     ),
     "minhash_signature": lambda d: query(*signature(d), ("", "select * from s")),
-    "lsh_classes": lambda d: query(*signature(d), *classes(d), ("", "select doc_id, class from s join e on " + SAME)),
-    "lsh_candidates": lambda d: query(
-        *signature(d),
-        *classes(d),
-        *banded(d, "e", "class"),
-        # the asked classes hold a doc_id divisible by 50; any member of a bucket meets any other that differs
-        ("l", "select distinct x.class as a, y.class as b from z x join z y on x.bucket = y.bucket join e on e.class = x.class and e.asked = 1 where x.class <> y.class"),
-        ("k", "select a, b, cast(" + " + ".join(f"case when x.m{i} = y.m{i} then 1 else 0 end" for i in range(HASHES)) + f" as double) / {HASHES} as similarity from l join e x on x.class = a join e y on y.class = b"),
-        ("", "select a, b, similarity from k where similarity >= 0.5"),
-    ),
+    "lsh_classes": signed(signature, classes, select="select doc_id, class from s join e on " + SAME),
+    "lsh_candidates": signed(signature, classes, lambda d: banded(d, "e", "class"), candidates, select="select a, b, similarity from k where similarity >= 0.5"),
     "lsh_bucket_stats": lambda d: query(*signature(d), *banded(d), ("k", "select band, bucket, count(*) as n from z group by band, bucket"), ("", "select cast(band as bigint) as band, cast(min(n) as bigint) as smallest, cast(max(n) as bigint) as largest, round(avg(cast(n as double)), 6) as mean, cast(count(*) as bigint) as buckets from k group by band")),
     "sample_last_n": lambda d: query(("", "select user_id, event_id, nth from (select user_id, event_id, cast(row_number() over (partition by user_id order by ts desc, event_id desc) as bigint) as nth from events) t where nth <= 5")),
     "sample_strided": lambda d: query(("", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as nth from events) t where (nth - 1) % 2 = 0")),
