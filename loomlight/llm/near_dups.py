@@ -10,8 +10,10 @@ are confirmed on the full sets, and confirmed links are closed to components.
 Where buckets still hold many pairs of several components, up to STARS more such
 rounds follow, each around another class of the bucket's largest component. Then
 all classes that share a bucket but not a component are paired as well, so no
-pair of a bucket goes unlooked at. In crowded buckets the pairs come from exact
-prefix filtering of the full sets, rarest shingle first: two sets that are similar
+pair of a bucket goes unlooked at. A class carries its buckets, BANDS at most, as one
+array, so joins by class see one row of each. Where crowded buckets hold several
+components, the pairs of these components' classes come from exact prefix filtering
+of the full sets, rarest shingle first: two sets that are similar
 enough share one of their first few, which a passage that many texts hold never is
 unless it makes up most of the text. A link of similarity 0.75 misses every band
 with a chance of 3e-7.
@@ -242,7 +244,8 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     bits = reps.select("id", "n_shingles", "bits")
     buckets = reps.select("id", F.explode("bands").alias("key")).where("key is not null")
     shared = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
-    hits = written(buckets.join(shared.select("key", "first", "n"), "key"), "buckets")
+    larger = buckets.join(shared.where("n > 2").select("key", "first", "n"), "key")
+    hits = written(larger.groupBy("id").agg(F.collect_list(F.struct("key", "first", "n")).alias("at")), "buckets")
 
     def likely(pairs: DataFrame) -> DataFrame:
         a = bits.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
@@ -253,35 +256,41 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
         margin = MARGIN * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - by_chance)
         return got.where(f"{estimate('bits_a', 'bits_b')} >= {similarity / 100 - margin}").select("a", "b").distinct()
 
-    stars = hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    stars = hits.select("id", F.inline("at")).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    stars = written(stars.unionByName(shared.where("n = 2").select(F.col("first").alias("a"), F.col("last").alias("b"))).distinct(), "stars")
     links = written(confirm(known, written(likely(stars), "pairs"), similarity), "confirmed")
     found = written(components(links), "components")
 
-    def unlinked() -> DataFrame:
-        """The rows of buckets that hold classes of several components."""
-        label = hits.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-        return written(label.join(mixed, "key", "left_semi"), "rest")
+    def labels() -> DataFrame:
+        """(id, c, at): the component and the buckets of each class; a bucket of two was dealt with by its star."""
+        return written(hits.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "at"), "labels")
 
-    rest = unlinked()
+    label = labels()
     for r in range(STARS):
+        rest = label.select("id", "c", F.inline("at"))
         each = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("id", F.lit(r))).alias("who"))
-        centres = each.groupBy("key").agg(F.max(F.struct("m", "who", "c")).alias("most"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        most = F.max(F.struct("m", "who", "c")).alias("most")
+        centres = each.groupBy("key").agg(most, F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("k"))
+        centres = written(centres.where("k > 1").select("key", "n", "same", F.col("most.who").alias("who"), F.col("most.c").alias("other")), "centres")
         cost = centres.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
         if (cost[0] or 0) <= WORTH * (cost[1] or 0):
             break
-        spokes = rest.select("key", "id", "c").join(centres.select("key", F.col("most.who").alias("who"), F.col("most.c").alias("other")), "key").where("c <> other")
+        spokes = rest.alias("x").join(centres.alias("y"), F.expr("x.key = y.key and c <> other"))
         spokes = written(likely(spokes.select(F.least("id", "who").alias("a"), F.greatest("id", "who").alias("b")).distinct()), "pairs")
         new = written(confirm(known, spokes, similarity), "confirmed")
         if new.isEmpty():
             break
         links = links.unionByName(new)
         found = written(components(links), "components")
-        rest = unlinked()
+        label = labels()
+    rest = label.select("id", "c", F.inline("at"))
     x, y = (rest.where(f"n <= {CROWDED}").select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
     more = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b")
-    crowded = rest.where(f"n > {CROWDED}").select("id", "c").distinct()
-    if not crowded.isEmpty():
+    held = rest.where(f"n > {CROWDED}").select("key", "c").distinct()
+    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    open_ones = written(held.join(mixed, "key", "left_semi").select("c").distinct(), "open")
+    if not open_ones.isEmpty():
+        crowded = label.where(f"exists(at, b -> b.n > {CROWDED})").select("id", "c").join(few(open_ones), "c", "left_semi").select("id", "c")
         sets = written(full_sets(known, written(crowded, "crowded")), "sets")
         more = more.unionByName(prefix_pairs(sets, similarity))
     more = written(likely(more.distinct().join(stars, ["a", "b"], "left_anti")), "pairs")
