@@ -244,6 +244,7 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     bits = reps.select("id", "n_shingles", "bits")
     buckets = reps.select("id", F.explode("bands").alias("key")).where("key is not null")
     shared = buckets.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
+    shared = written(shared, "shared")
     larger = buckets.join(shared.where("n > 2").select("key", "first", "n"), "key")
     hits = written(larger.groupBy("id").agg(F.collect_list(F.struct("key", "first", "n")).alias("at")), "buckets")
 
