@@ -11,9 +11,8 @@ Where buckets still hold many pairs of several components, up to STARS more such
 rounds follow, each around another class of the bucket's largest component. Then
 all classes that share a bucket but not a component are paired as well, so no
 pair of a bucket goes unlooked at. A class carries its buckets, BANDS at most, as one
-array, so joins by class see one row of each. Where crowded buckets hold several
-components, the pairs of these components' classes come from exact prefix filtering
-of the full sets, rarest shingle first: two sets that are similar
+array, so joins by class see one row of each. In crowded buckets the pairs come from
+exact prefix filtering of the full sets, rarest shingle first: two sets that are similar
 enough share one of their first few, which a passage that many texts hold never is
 unless it makes up most of the text. A link of similarity 0.75 misses every band
 with a chance of 3e-7.
@@ -287,12 +286,11 @@ def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     rest = label.select("id", "c", F.inline("at"))
     x, y = (rest.where(f"n <= {CROWDED}").select("key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in "ab")
     more = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b")
-    held = rest.where(f"n > {CROWDED}").select("key", "c").distinct()
-    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    open_ones = written(held.join(mixed, "key", "left_semi").select("c").distinct(), "open")
-    if not open_ones.isEmpty():
-        crowded = label.where(f"exists(at, b -> b.n > {CROWDED})").select("id", "c").join(few(open_ones), "c", "left_semi").select("id", "c")
-        sets = written(full_sets(known, written(crowded, "crowded")), "sets")
+    held = rest.where(f"n > {CROWDED}").select("key", "id", "c")
+    mixed = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+    crowded = written(held.join(mixed, "key", "left_semi").select("id", "c").distinct(), "crowded")
+    if not crowded.isEmpty():
+        sets = written(full_sets(known, crowded), "sets")
         more = more.unionByName(prefix_pairs(sets, similarity))
     more = written(likely(more.distinct().join(stars, ["a", "b"], "left_anti")), "pairs")
     if not more.isEmpty():
