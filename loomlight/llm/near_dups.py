@@ -42,7 +42,7 @@ SHINGLE = 5
 ROWS, BANDS = 4, 40
 HASHES = ROWS * BANDS
 BITS = 2
-CROWDED = 64
+CROWDED = 16
 MARGIN = 5
 STARS, WORTH = 2, 3
 RANKED = 1 << 17
