@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import DUCK, SPARK
-from ..operators import digest, grouped, logs, recap, render, reports, structure, text, turns, vectors
+from ..operators import digest, grouped, logs, recap, render, reports, structure, text, turns, vectors, weighted
 from .tables import staged
 
 TABLES = ("events", "documents", "conversations", "embeddings", "benchmark", "labels", "pages")
@@ -28,7 +28,7 @@ def _run(definition):
 
 
 def queries() -> dict:
-    return {name: _run(x) for name, x in (DEFINITIONS | recap.WHOLE).items()} | grouped.QUERIES | vectors.QUERIES
+    return {name: _run(x) for name, x in (DEFINITIONS | recap.WHOLE).items()} | grouped.QUERIES | vectors.QUERIES | weighted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

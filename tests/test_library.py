@@ -141,6 +141,60 @@ def test_against_duckdb(spark, name):
     assert rows(mine) == rows(other)
 
 
+ODD_TEXTS = [
+    (1, "GET /api/v1 get App.js main.py 404 1234 Error x.log.md foo(bar) F(a.b) the zz zz zz"),
+    (1, "x.js get get -- .. _ a-b () 550e8400-e29b-41d4-a716-446655440000"),
+    (2, "İx aİ.js \u212a\u212a éa 日本 the and of SELECT select"),
+    (3, None),
+    (4, ""),
+    (4, "the and"),
+    (5, "alone"),
+    (None, "no id get 200"),
+    (6, "y" * 5000 + " .md a.md " + "zz yy " * 700 + "App.js"),
+    *((i, " ".join(f"w{j % (i + 3)}" + ".js" * (j % 5 == 0) for j in range(i))) for i in range(7, 60)),
+]
+
+
+@pytest.mark.parametrize("name", ["token_weights"])
+@pytest.mark.parametrize("block, rows_at_once", [(None, 10000), (1, 1), (300, 2)])
+def test_token_sums_of_odd_texts(spark, tmp_path, monkeypatch, name, block, rows_at_once):
+    """Equal to the SQL for repeated and missing ids, whatever the blocks; texts are shuffled once, tokens never."""
+    from loomlight.operators import weighted
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(ODD_TEXTS, "doc_id long, text string").repartition(3).write.parquet(path)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(rows_at_once))
+    try:
+        got = registry.queries()[name](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Generate" not in plan and "Join" not in plan
+        mine = got.toPandas()
+    finally:
+        spark.conf.set(limit, before)
+    if block:
+        monkeypatch.setattr(weighted, "BLOCK", block)
+        monkeypatch.setattr(weighted, "ROWS", 3)
+        batches = spark.read.parquet(path).where("doc_id is not null").selectExpr("doc_id", "coalesce(text, '') as text", "lower(replace(coalesce(text, ''), 'İ', 'i')) as lowered").orderBy("doc_id").toArrow().to_batches(rows_at_once)
+        sums = {}
+        for ids, b in weighted.whole(batches):
+            for doc, token, weight in b.weights():
+                assert len(token) <= 3
+                for d, t, w in zip(ids.take(doc).to_pylist(), token.to_pylist(), weight):
+                    assert (d, t) not in sums
+                    sums[d, t] = w
+        if name == "token_weights":
+            assert sums == pytest.approx({(r.doc_id, r.token): r.weight for r in mine.itertuples()}, abs=1e-6)
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{path}/*.parquet'")
+    other = c.sql(registry.oracle_sql()[name]).df()
+    assert len(other) > 5
+    rows = lambda df: sorted(tuple(f"{v:.5f}" if isinstance(v, float) else v for v in r) for r in df[list(other.columns)].itertuples(index=False))
+    assert rows(mine) == rows(other)
+    assert list(mine.columns) == list(other.columns)
+
+
 def test_entry_imports_without_llm():
     source = Path(logs.__file__).parent.parent
     for p in source.rglob("*.py"):
