@@ -9,6 +9,7 @@ word, and equal numbers are equal tokens: nothing is hashed away.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,21 @@ from ..plans.shipping import ship
 from .text import STOP_WORDS, TECHNICAL
 
 # Bytes of text handled at once (or one document), rows given out at once.
-BLOCK, ROWS = 1 << 19, 1 << 16
+BLOCK, ROWS = 1 << 20, 1 << 16
 STOP = frozenset(w.encode() for w in STOP_WORDS)
-RULES = tuple(re.compile(p.encode()) for p in TECHNICAL)
 NUMBER = re.compile(rb"^\d{3}$")
 
 
+def _either(patterns) -> re.Pattern:
+    """One pattern for several; each keeps its own (?i)."""
+    return re.compile("|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns).encode())
+
+
+#: The technical patterns of whole tokens, and those of the end of a token: an extension after its point.
+WHOLE = _either(p for p in TECHNICAL if p.removeprefix("(?i)").startswith("^"))
+END = _either(p for p in TECHNICAL if p.removeprefix("(?i)").startswith(r"\."))
+
+
 def _bytes(members: bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(members)] = True
@@ -38,12 +48,14 @@ RAW, LOWER = _bytes(_SMALL + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ()"), _bytes(_SMALL)
 
 
 def technical(token: bytes) -> bool:
-    return any(r.search(token) for r in RULES)
+    return WHOLE.match(token) is not None or b"." in token and END.search(token) is not None
 
 
+@lru_cache(1 << 16)
 def factors(token: bytes) -> tuple[float, float]:
-    """Of the token itself, and of the grams that end with it: a rule tied to the start of a gram fails at its space."""
-    return (3.0 if technical(token) else 1.0) * (2.0 if NUMBER.search(token) else 1.0), (3.0 if technical(b"x " + token) else 1.0) * 1.5
+    """Of the token itself, and of the grams that end with it: a pattern of whole tokens fails at a gram's space."""
+    end = b"." in token and END.search(token) is not None
+    return (3.0 if end or WHOLE.match(token) else 1.0) * (2.0 if NUMBER.match(token) else 1.0), (3.0 if end else 1.0) * 1.5
 
 
 def words(texts: pa.Array, kind: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -137,6 +149,23 @@ class Block:
                 doc, parts = self.tokens(k, at)
                 yield doc, (pc.binary_join_element_wise(*parts, b" ") if k else parts[0]).cast(pa.string()), sums[at]
 
+    def stats(self):
+        """Of the documents with tokens: document, distinct tokens, distinct grams, sum of weights, technical tokens of a row at most.
+
+        The SQL joins tokens and rows by doc_id, so counts and sums of a repeated doc_id are taken once for each of its rows."""
+        n, total = np.zeros((3, self.docs), np.int64), np.zeros(self.docs)
+        doc = None
+        for k, (keys, sums) in enumerate(self.levels):
+            before = keys // self.size
+            doc = doc[before] if k else before
+            n[k] = np.bincount(doc, minlength=self.docs)
+            total += np.bincount(doc, sums, self.docs)
+        rows = np.bincount(self.doc, minlength=self.docs)
+        most = np.zeros(self.docs, np.int64)
+        np.maximum.at(most, self.doc, self.n_technical)
+        some = np.flatnonzero(n[0])
+        return (some, *((x * rows)[some] for x in (n.sum(0), n[1] + n[2], total)), most[some])
+
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     """Half away from zero, for what is not negative."""
@@ -201,4 +230,19 @@ def token_weights(documents: DataFrame) -> DataFrame:
     return _by_document(documents).mapInArrow(weigh, _id(documents) + "token string, weight double")
 
 
-QUERIES = {"token_weights": lambda spark, sf_dir: token_weights(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+def token_stats(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_unique, n_grams, total_weight, n_technical) of every document that has a token."""
+
+    def count(batches):
+        for ids, block in whole(batches):
+            doc, n_unique, n_grams, total, n_technical = block.stats()
+            columns = [ids.take(pa.array(doc)), *map(pa.array, (n_unique, n_grams, rounded(total, 5), n_technical))]
+            yield pa.record_batch(columns, names=["doc_id", "n_unique", "n_grams", "total_weight", "n_technical"])
+
+    return _by_document(documents).mapInArrow(count, _id(documents) + "n_unique long, n_grams long, total_weight double, n_technical long")
+
+
+QUERIES = {
+    "token_weights": lambda spark, sf_dir: token_weights(spark.read.parquet(f"{sf_dir}/documents.parquet")),
+    "token_stats": lambda spark, sf_dir: token_stats(spark.read.parquet(f"{sf_dir}/documents.parquet")),
+}

@@ -155,7 +155,20 @@ ODD_TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["token_weights"])
+def test_technical_tokens():
+    """Two compiled patterns say what the list of patterns says."""
+    from loomlight.operators.text import TECHNICAL
+    from loomlight.operators.weighted import END, WHOLE, factors, technical
+
+    every = lambda t: any(re.search(p, t) for p in TECHNICAL)
+    assert (WHOLE.pattern + END.pattern).count(b"(?i:") + (WHOLE.pattern + END.pattern).count(b"(?:^") == len(TECHNICAL)
+    for t in "GET gets get 200 2000 20 Failed 550E8400-e29b-41d4-a716-446655440000 a.JS a.js.b .md .mdx md f(x) f( (x) /a/B /a.b / select selects a/get get/a x.py/ a.b.py 1.c".split():
+        assert technical(t.encode()) == every(t), t
+        low = t.lower()
+        assert factors(low.encode()) == ((3 if every(low) else 1) * (2 if re.search(r"^\d{3}$", low) else 1), (3 if every("a " + low) else 1) * 1.5), t
+
+
+@pytest.mark.parametrize("name", ["token_weights", "token_stats"])
 @pytest.mark.parametrize("block, rows_at_once", [(None, 10000), (1, 1), (300, 2)])
 def test_token_sums_of_odd_texts(spark, tmp_path, monkeypatch, name, block, rows_at_once):
     """Equal to the SQL for repeated and missing ids, whatever the blocks; texts are shuffled once, tokens never."""
