@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytebatch as bb
-from .cluster import CARRIED, carried, schema_of, ship
+from .cluster import CARRIED, carried, carried_once, input_rows, schema_of, ship
 
 WINDOW = 13
 K = 5
@@ -177,7 +177,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     carry: the input row comes along as the struct `input_row`."""
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried(carry))
+    docs = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
+    columns = documents.columns
     indexes = [spark.sparkContext.broadcast(Index(items)) for items in _blocks(benchmark, item_id, item_text, block_bytes)]
 
     if len(indexes) == 1:
@@ -187,6 +188,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
             index = shared.value
             for batch in batches:
                 ids = batch.column("doc_id")
+                rows = [input_rows(batch, columns, text) for _ in range(carry)]
                 for t in bb.blocks(batch.column("text")):
                     n_words, items, spans = _scan(index, t)
                     hit = np.array([sum(b - a for a, b in s) for s in spans], dtype=np.int64)
@@ -199,14 +201,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                             pa.array([len(x) for x in named], pa.int64()),
                             pa.array([_digest(x) for x in named]),
                             pa.array((hit > 0) & (min_share * hit >= n_words)),
-                            *[batch.column(CARRIED).slice(t.first, len(t)) for _ in range(carry)],
+                            *[x.slice(t.first, len(t)) for x in rows],
                         ],
                         names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *[CARRIED] * carry],
                     )
 
-        return docs.mapInArrow(whole, schema_of(documents, SCHEMA, carry))
+        return documents.select(*docs, *carried_once(documents, text, carry)).mapInArrow(whole, schema_of(documents, SCHEMA, carry))
 
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = documents.select(*docs, *carried(carry)).withColumn("row", F.monotonically_increasing_id())
     parts = []
     for k, shared in enumerate(indexes):
 

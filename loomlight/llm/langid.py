@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytebatch as bb
-from .cluster import CARRIED, carried, schema_of, ship, text_id
+from .cluster import CARRIED, carried_once, input_rows, schema_of, ship, text_id
 from .sample import MOST_BYTES, per_label, within_bytes
 
 ORDER = 3
@@ -177,14 +177,16 @@ def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     ship(spark)
     held_out = F.pmod(text_id(doc_id), F.lit(fold)) == 0
     model = spark.sparkContext.broadcast(train(labelled(documents, most, most_bytes, doc_id, text, lang, ~held_out)))
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"), *carried(carry))
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"), *carried_once(documents, text, carry))
+    columns = documents.columns
 
     def run(batches):
         node = node_of(model.value[2], int(model.value[1].max()) + 1)
         for batch in batches:
+            every = [batch.column("doc_id"), batch.column("held_out"), *[input_rows(batch, columns, text) for _ in range(carry)]]
             for t in bb.blocks(batch.column("text")):
                 names, score = scores(model.value, node, t)
-                own = [batch.column(c).slice(t.first, len(t)) for c in ("doc_id", "held_out", *[CARRIED] * carry)]
+                own = [x.slice(t.first, len(t)) for x in every]
                 yield pa.record_batch([*own[:2], pa.array(names, pa.string()), pa.array(score), *own[2:]], names=["doc_id", "held_out", "lang_pred", "score", *[CARRIED] * carry])
 
     return docs.mapInArrow(run, schema_of(documents, SCHEMA, carry))

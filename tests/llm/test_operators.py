@@ -655,6 +655,35 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_pipeline_sends_texts_once_and_starts_no_other_workers(spark, docs, monkeypatch):
+    """Carried rows hold no second copy of the text on their way to Python, and come back whole; no rows of Python's own make an RDD."""
+    from loomlight.llm import cluster
+
+    sent = docs.select(*cluster.carried_once(docs, "text", True))
+    assert "text" not in sent.schema[cluster.CARRIED].dataType.names
+    odd = docs.selectExpr("*", "cast(text as binary) as `Text too`", "doc_id as `a.b`")
+    for frame in (docs, odd):
+        for out in (langid.identify(frame, carry=True), decontamination.decontaminate(frame, spark.createDataFrame([(1, "no such words")], "item_id long, text string"), carry=True)):
+            assert out.schema[cluster.CARRIED].dataType.names == frame.columns
+            assert Counter(map(repr, out.select(f"{cluster.CARRIED}.*").collect())) == Counter(map(repr, frame.collect()))
+
+    def refuse(*_, **__):
+        raise AssertionError("an RDD of Python's rows")
+
+    monkeypatch.setattr(suffixes, "across_boundaries", lambda edges, reach: [(0, 1, False, False)])
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert suffixes.remove_repeats(docs).count() == docs.count()
+
+
+def test_blocks_give_back_what_the_pool_keeps():
+    used = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+    many = [pa.array(np.arange(1 << 16)).cast(pa.string()) for _ in range(200)]
+    before = used()
+    del many
+    list(bb.blocks(pa.array(["a", None])))
+    assert used() < before - 50
+
+
 def test_special_tokens_are_those_of_the_library():
     raw = bpe.read(None)
     encode, tok = bpe.encoder(raw), bpe.with_offsets(raw)
